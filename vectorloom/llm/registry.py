@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality_rules
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
 def oracle_sql():
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
+        "op7_quality_rules": quality_rules.OP7_SQL,
     }
