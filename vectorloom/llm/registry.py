@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import byte_bpe, chat_format, line_dedup, mixing, quality_rules
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op9_chat_format": chat_format.op9_chat_format,
     }
 
 
