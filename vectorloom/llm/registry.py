@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, line_dedup, mil_quality, mixing, quality_rules, tiff_media, url_filter, warc
+from . import byte_bpe, chat_format, line_dedup, mil_quality, mixing, ngram_join, quality_rules, tiff_media, url_filter, warc
 
 
 def queries():
     return {
         "op1_mix_sources": mixing.op1_mix,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_tiff_media": tiff_media.op5_tiff_media,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
