@@ -270,10 +270,11 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; columns of `docs`."""
+    """One document of each group stays, the one with the least doc_id (rows that repeat its doc_id
+    stay with it); columns of `docs`."""
     groups = join_components(docs, **options)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_doc")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_doc")), "left_semi")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
