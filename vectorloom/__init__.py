@@ -1,0 +1 @@
+"""A PySpark-native engine for chunking, embedding with fallback, and alignment of embedding spaces."""

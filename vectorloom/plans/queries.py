@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from vectorloom.operators.providers import HashProvider, LetterProvider, LinearP
 from vectorloom.sources import anchors as anchor_source
 from vectorloom.sources.documents import from_html
 from vectorloom.sources.sinks import document_json
+from vectorloom.streaming.cooldowns import stream_cooldowns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -399,12 +403,12 @@ def cooldown_duration(spark, sf_dir):
 @query(r"""
 WITH w AS (SELECT event_id, ts, last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER
   (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events)
-SELECT event_id, epoch_us(l) AS limited_us, coalesce(l + INTERVAL 6 HOUR > ts, FALSE) AS blocked FROM w
+SELECT event_id, coalesce(epoch_us(l), -1) AS limited_us, coalesce(l + INTERVAL 6 HOUR > ts, FALSE) AS blocked FROM w
 """)
 def cooldown_asof(spark, sf_dir):
     events = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("provider"), "ts", F.col("event_id").alias("seq"), "event_type")
     marked = rate_limits.asof_cooldown(events, F.col("event_type") == "error", 6 * 3600.0)
-    return marked.select("event_id", F.unix_micros("limited_at").alias("limited_us"), "blocked")
+    return marked.select("event_id", F.coalesce(F.unix_micros("limited_at"), F.lit(-1)).alias("limited_us"), "blocked")
 
 
 def _limits(spark, sf_dir):
@@ -443,6 +447,23 @@ def pick_provider(spark, sf_dir):
     return rate_limits.pick_provider(_status(spark, sf_dir), excluded=("0", "1"))
 
 
+@query(r"""
+WITH w AS (SELECT event_id, user_id, ts, last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER
+  (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM events)
+SELECT event_id, CAST(user_id AS VARCHAR) AS provider, coalesce(l + INTERVAL 6 HOUR > ts, FALSE) AS blocked FROM w
+""")
+def stream_cooldown(spark, sf_dir):
+    """The as-of cooldown as a stream with keyed state, run to its end over the events."""
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = source.select(
+        F.col("user_id").cast("string").alias("provider"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("is_limit")
+    )
+    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='vectorloom-')}/stream-{uuid.uuid4().hex}"
+    flow = stream_cooldowns(events, 6 * 3600.0).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows")
+    flow.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "provider", "blocked")
+
+
 # -- ingestion --------------------------------------------------------------------------
 
 
