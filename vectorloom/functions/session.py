@@ -1,0 +1,9 @@
+"""Arrow batch sizes: each operator that hands rows to Python says how many fit its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

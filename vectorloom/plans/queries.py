@@ -300,7 +300,7 @@ def _diagnostics(spark, d: alignment.Diagnostics) -> DataFrame:
     return spark.createDataFrame([row], "anchors long, reduced_dimension int, scale double, error double, explained double, fallback string, rank int")
 
 
-@query("SELECT CAST(500 AS BIGINT) AS anchors, 0.4 AS scale, 0.0 AS error, 1.0 AS confidence, 64 AS rank")
+@query("SELECT CAST(500 AS BIGINT) AS anchors, 0.4::DOUBLE AS scale, 0.0::DOUBLE AS error, 1.0::DOUBLE AS confidence, 64 AS rank")
 def align_diagnostics(spark, sf_dir):
     here = _vectors(spark, sf_dir)
     _, found = alignment.fit_alignment(_anchor_rows(_space(here, _signed_permutation(64))), _anchor_rows(here))

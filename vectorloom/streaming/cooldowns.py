@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vectorloom.functions.session import batch_rows
+
 OUT = "provider string, event_id long, ts timestamp, blocked boolean"
 
 
@@ -30,4 +32,5 @@ def stream_cooldowns(events: DataFrame, seconds: float) -> DataFrame:
             state.update((until,))
         yield pd.DataFrame({"provider": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "blocked": blocked})
 
+    batch_rows(events.sparkSession, 10_000)
     return events.groupBy("provider").applyInPandasWithState(step, OUT, "until double", "append", GroupStateTimeout.NoTimeout)
