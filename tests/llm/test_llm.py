@@ -189,6 +189,7 @@ def test_ngram_join(spark, size, percent):
     rows = EDGES + [(100 + i, near(i, base, i % 9), "s") for i in range(70)] + [(300 + i, near(i, other, i % 3), "s") for i in range(25)]
     rows += [(400 + i, base, "s") for i in range(12)] + [(500 + i, other + " " + prose(50 + i, 60 + i), "s") for i in range(10)]
     rows += [(600 + i, prose(70 + i, i), "s") for i in range(8)] + [(700 + i, near(i, prose(70 + 7, 9), 1), "s") for i in range(6)]
+    rows += [(800, prose(9, 100), "s")] * 3 + [(801, near(1, prose(9, 100), 1), "s"), (802, prose(9, 100), "s")] + [(803, prose(99, 80), "s")] * 2
     found = ngram_join.join_components(docs_of(spark, rows), size, percent)
     assert sorted(map(tuple, found.collect()), key=str) == brute_components(rows, size, percent)
     kept = ngram_join.keep_representatives(docs_of(spark, rows), size=size, percent=percent)

@@ -68,6 +68,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(table.sparkSession, path)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts can be long, so Arrow batches for Python workers are bounded by rows here."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -23,9 +23,9 @@ Then links give components. Sets are named by a 64-bit digest of all their hashe
 64-bit hashes: up to some 10^8 sets no two are expected to collide.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer than `size`
-words are one n-gram; repeated rows and equal texts share a component; a null doc_id takes
-part and is the least of its component only if all are null; an empty table gives no rows;
-other columns are ignored.
+words are one n-gram; repeated rows and equal texts share a component, and so do rows of one
+doc_id with different texts as far as links go; rows without doc_id belong to the component of an equal set
+that has one, else to none (null); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, small_batches
+from .common import discard, materialise, read, small_batches
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -101,7 +101,7 @@ def survivors(sets: DataFrame, percent: int) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """sid and hash of every n-gram of the chosen sets, from their representatives' texts."""
-    texts = docs.select("doc_id", "text").join(chosen.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(chosen.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -130,14 +130,14 @@ def _segments(packed: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             rows = []
             for sid, hs, dfs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                h, df = hs.values.to_numpy().astype(np.uint64), dfs.values.to_numpy()
+                # rows that repeat a representative's doc_id give its n-grams again
+                h, first = np.unique(hs.values.to_numpy().astype(np.uint64), return_index=True)
+                df = dfs.values.to_numpy()[first]
                 n, alone = len(h), int((df == 1).sum())
                 spare = n * (100 - percent) // 100
                 if alone > spare:
                     continue
                 rare = h[np.lexsort((h, df))][alone : spare + 1]
-                order = np.argsort(h)
-                h, df = h[order], df[order]
                 cuts = np.searchsorted(h, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
                 for f, (a, b) in enumerate(zip([0, *cuts], [*cuts, n])):
                     rows.append((sid, f, n, alone, h[a:b].tobytes(), df[a:b].astype(np.int32).tobytes(), rare.astype(np.int64) if f == 0 else None))
@@ -171,7 +171,8 @@ def _groups(segments: DataFrame, percent: int) -> DataFrame:
 def _partials(pairs: DataFrame, segments: DataFrame, left: str, right: str, keep: float = 0) -> DataFrame:
     """Overlap of each pair in each fragment: `common`, and if `keep` is not 0 the first deviations of
     `right` from `left` in the order (added by rising count, then missing by falling count), at most
-    keep * n + 1 of them, which is as many as the whole prefix has."""
+    keep * n + 1 of them, which is as many as the whole prefix has, and `bits`, which has a bit set for the
+    last six bits of each deviation's hash: two sets differ in at least as many n-grams as in bits."""
     side = lambda name, mark, *more: segments.select(F.col("sid").alias(name), "f", *(F.col(c).alias(f"seg_{mark}_{c}") for c in ("hs", "dfs", *more)))
     joined = pairs.join(side(left, "a"), left).join(side(right, "b", "n"), [right, "f"])
     names = [*pairs.columns, "f", "seg_b_n", "seg_a_hs", "seg_a_dfs", "seg_b_hs", "seg_b_dfs"]
@@ -181,7 +182,7 @@ def _partials(pairs: DataFrame, segments: DataFrame, left: str, right: str, keep
 
     def run(batches):
         for batch in batches:
-            common, items = [], []
+            common, items, bits = [], [], []
             for row in zip(*(batch.column(i).to_pylist() for i in range(kept + 1, len(names)))):
                 n, ah, ad, bh, bd = row
                 a, b = np.frombuffer(ah, np.uint64), np.frombuffer(bh, np.uint64)
@@ -194,15 +195,18 @@ def _partials(pairs: DataFrame, segments: DataFrame, left: str, right: str, keep
                     lost[at[found]] = False
                     key = np.concatenate((np.frombuffer(bd, np.int32)[~found].astype(np.int64), _MISSING - np.frombuffer(ad, np.int32)[lost].astype(np.int64)))
                     gram = np.concatenate((b[~found], a[lost])).astype(np.int64)
+                    bits.append(int(np.bitwise_or.reduce(np.int64(1) << (gram & 63), initial=np.int64(0))))
                     first = np.lexsort((gram, key))[: int(keep * n) + 1]
                     items.append([{"k": k, "h": h} for k, h in zip(key[first].tolist(), gram[first].tolist())])
                 else:
+                    bits.append(None)
                     items.append(None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: kept + 1], pa.array(common, pa.int64()), pa.array(items, item)], names=[*names[: kept + 1], "common", "items"]
+                [*batch.columns[: kept + 1], pa.array(common, pa.int64()), pa.array(bits, pa.int64()), pa.array(items, item)],
+                names=[*names[: kept + 1], "common", "bits", "items"],
             )
 
-    return joined.select(*names).mapInArrow(run, f"{fields}, f int, common long, items array<struct<k: long, h: long>>")
+    return joined.select(*names).mapInArrow(run, f"{fields}, f int, common long, bits long, items array<struct<k: long, h: long>>")
 
 
 def links(segments: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +217,11 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
     compared = (
         _partials(groups, segments, "lead", "sid", keep=reach)
         .groupBy("band", "lead", "sid", "n", "lead_n")
-        .agg(F.sum("common").alias("common"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
+        .agg(
+            F.sum("common").alias("common"),
+            F.sort_array(F.flatten(F.collect_list("items"))).alias("items"),
+            *(F.coalesce(F.max(F.when(F.col("f") == f, F.col("bits"))), F.lit(0)).alias(f"bits{f}") for f in range(FRAGMENTS)),
+        )
         .withColumn("dev", F.col("n") + F.col("lead_n") - 2 * F.col("common"))
         .withColumn("slack", over * F.col("n") - under * F.col("dev"))
         .withColumn("most", F.floor(reach * F.col("n")))
@@ -227,16 +235,22 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
     sure = member.where("certain").select(F.col("sid").alias("u"), F.col("b.sid").alias("v"))
     led = member.where(under * F.col("dev") <= over * (F.col("n") + F.col("lead_n"))).select(F.col("sid").alias("u"), F.col("lead").alias("v"))
     anchored = best.select(F.col("lead").alias("u"), F.col("b.sid").alias("v"), (F.col("b.slack") + 0).alias("s")).where("s >= 0").select("u", "v")
-    member = member.select("band", "lead", "sid", "n", "dev", "most", "certain", "items")
+    bits = [f"bits{f}" for f in range(FRAGMENTS)]
+    member = member.select("band", "lead", "sid", "n", "dev", "most", "certain", "items", *bits)
     shape = ["band", "lead", F.col("item.h").alias("h")]
-    index = member.select("*", F.explode(F.expr("slice(items, 1, cast(floor(most / 2) + 1 as int))")).alias("item")).select(
-        *shape, *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "dev", "certain"))
+    index = member.select("*", F.posexplode(F.expr("slice(items, 1, cast(floor(most / 2) + 1 as int))")).alias("at", "item")).select(
+        *shape, *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "dev", "certain", "at", *bits))
     )
-    probe = member.select("*", F.explode("items").alias("item")).select(*shape, *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "dev", "certain")))
+    probe = member.select("*", F.posexplode("items").alias("at", "item")).select(*shape, *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "dev", "certain", "at", *bits)))
+    # if this is the first deviation that two share, they share no more than what follows it on either side
+    shared = F.least(F.col("x_dev") - F.col("x_at"), F.col("y_dev") - F.col("y_at"))
+    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
     like = (
         (F.struct("y_dev", "y_sid") < F.struct("x_dev", "x_sid"))
         & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
         & (under * (F.col("x_dev") - F.col("y_dev")) <= over * (F.col("x_n") + F.col("y_n")))
+        & (under * (F.col("x_dev") + F.col("y_dev") - 2 * shared) <= over * (F.col("x_n") + F.col("y_n")))
+        & (under * differ <= over * (F.col("x_n") + F.col("y_n")))
     )
     keys = ["band", "lead", "h"]
     meet = lambda p, i: p.join(i, keys).where(like).select(F.col("x_sid").alias("x"), F.col("y_sid").alias("y"), "x_n", "y_n")
@@ -251,12 +265,15 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    sets = materialise(document_sets(docs, size), "join-sets")
-    chosen = materialise(survivors(sets, percent), "join-chosen")
+    with_low = materialise(document_sets(docs, size), "join-low")
+    chosen = materialise(survivors(with_low, percent), "join-chosen")
+    sets = materialise(with_low.select("doc_id", "n", "sid"), "join-sets")
+    discard(with_low)
     _release(spark)
     grams = materialise(_whole_sets(docs, chosen, size), "join-grams")
     _release(spark)
     segments = materialise(_segments(_with_counts(grams), percent), "join-segments")
+    discard(grams)
     _release(spark)
     edges = materialise(links(segments, percent), "join-links")
     name = chosen.select("sid", "rep")
@@ -273,8 +290,8 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each group stays, the one with the least doc_id (rows that repeat its doc_id
     stay with it); columns of `docs`."""
     groups = join_components(docs, **options)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_doc")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_doc")), "left_semi")
+    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__join_kept")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__join_kept")), "left_semi")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
