@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read, small_batches
+from .common import ascii_lower, materialise, read, small_batches
 
 RULES = (
     ("com/en/", "block"),
@@ -74,11 +74,23 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def unigram_counts(pages: DataFrame, column: str = "html", size: int = UNIGRAMS) -> dict[str, int]:
-    """Counts of the most frequent words of all texts, without markup; at most `size` of them."""
+    """Counts of the most frequent words of all texts, without markup; at most `size` of them.
+
+    A histogram of the counts' logarithms, of a few thousand rows, gives the least count at which no
+    more than `size` words remain, and only those are gathered, however many tasks there are."""
     text = F.regexp_replace(F.lower(F.col(column)), r"<[^>]*>", " ")
     word = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.col("w").rlike(rf"^[a-z]{{1,{MAX_WORD}}}$"))
-    top = word.groupBy("w").count().where(F.col("count") >= MIN_COUNT).orderBy(F.desc("count"), "w").limit(size)
-    return {r["w"]: r["count"] for r in top.collect()}
+    counted = word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COUNT)
+    counted = materialise(counted.withColumn("level", F.floor(F.log2("n") * 64).cast("int")), "url-words")
+    least, left = None, size
+    for level, words in sorted(((r["level"], r["k"]) for r in counted.groupBy("level").agg(F.count("*").alias("k")).collect()), reverse=True):
+        left -= words
+        if left < 0:
+            break
+        least = level
+    if least is None:
+        return {}
+    return {r["w"]: r["n"] for r in counted.where(F.col("level") >= least).select("w", "n").collect()}
 
 
 class Segmenter:
