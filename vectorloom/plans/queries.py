@@ -277,9 +277,9 @@ def _space(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
     return alignment.apply_transform(vectors, "vector", alignment.Transform(matrix, 1.0))
 
 
-def _anchor_rows(vectors: DataFrame, n: int = 500) -> np.ndarray:
-    """Anchors are a corpus of fixed size: the first `n` ids."""
-    return alignment.anchor_matrix(vectors.where(F.col("id") < n), "vector", "id")
+def _paired(vectors: DataFrame) -> DataFrame:
+    """Every vector is an anchor: the image under `vector`, the original under `target`."""
+    return vectors.withColumn("target", F.col("vector"))
 
 
 @query(r"""
@@ -288,9 +288,8 @@ FROM embeddings, (SELECT unnest(range(1, 65)) AS i)
 """)
 def align_same_dim(spark, sf_dir):
     """Vectors of a scaled, turned space come back as the originals."""
-    here = _vectors(spark, sf_dir)
-    there = _space(here, _signed_permutation(64))
-    transform, _ = alignment.fit_alignment(_anchor_rows(there), _anchor_rows(here))
+    there = _space(_paired(_vectors(spark, sf_dir)), _signed_permutation(64))
+    transform, _ = alignment.fit_alignment_table(there, "vector", "target", "id")
     back = alignment.apply_transform(there, "vector", transform)
     return back.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x") * 10000).cast("long").alias("value_e4"))
 
@@ -302,16 +301,15 @@ def _diagnostics(spark, d: alignment.Diagnostics) -> DataFrame:
 
 @query("SELECT CAST(500 AS BIGINT) AS anchors, 0.4::DOUBLE AS scale, 0.0::DOUBLE AS error, 1.0::DOUBLE AS confidence, 64 AS rank")
 def align_diagnostics(spark, sf_dir):
-    here = _vectors(spark, sf_dir)
-    _, found = alignment.fit_alignment(_anchor_rows(_space(here, _signed_permutation(64))), _anchor_rows(here))
+    there = _space(_paired(_vectors(spark, sf_dir)), _signed_permutation(64))
+    _, found = alignment.fit_alignment_table(there, "vector", "target", "id")
     return _diagnostics(spark, found).select("anchors", "scale", "error", alignment.confidence(F.col("error")).alias("confidence"), "rank")
 
 
 @query("SELECT CAST(500 AS BIGINT) AS anchors, 64 AS reduced_dimension, 'padded_zeros' AS fallback, 32 AS rank")
 def align_padded(spark, sf_dir):
-    here = _vectors(spark, sf_dir)
-    narrow = here.withColumn("vector", V.truncate(F.col("vector"), 32))
-    _, found = alignment.fit_alignment(_anchor_rows(narrow), _anchor_rows(here))
+    narrow = _paired(_vectors(spark, sf_dir)).withColumn("vector", V.truncate(F.col("vector"), 32))
+    _, found = alignment.fit_alignment_table(narrow, "vector", "target", "id")
     return _diagnostics(spark, found).select("anchors", "reduced_dimension", "fallback", "rank")
 
 
@@ -319,8 +317,8 @@ def align_padded(spark, sf_dir):
 def align_pca(spark, sf_dir):
     """A wider space of low rank is reduced, and its vectors come out in the narrower one."""
     narrow = _vectors(spark, sf_dir).withColumn("vector", V.truncate(F.col("vector"), 16))
-    wide = _space(narrow, np.linalg.qr(np.random.default_rng(3).normal(size=(48, 16)))[0].T)
-    _, found = alignment.fit_alignment(_anchor_rows(wide), _anchor_rows(narrow))
+    wide = _space(_paired(narrow), np.linalg.qr(np.random.default_rng(3).normal(size=(48, 16)))[0].T)
+    _, found = alignment.fit_alignment_table(wide, "vector", "target", "id")
     return _diagnostics(spark, found).select("anchors", "reduced_dimension", (F.col("fallback").isNull() & (F.col("error") < 0.1)).alias("accepted"))
 
 
