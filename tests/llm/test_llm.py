@@ -277,6 +277,28 @@ def test_url_filter_without_rows_or_rules(spark):
     assert [r["url_verdict"] for r in url_filter.judge_urls(one).collect()] == ["allow"]
 
 
+def test_every_word_splits_runs_however_rare(spark):
+    # each word once or twice, more words than any dictionary of a fixed size need hold, in runs of other lengths
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) + "q" for i in range(60_000)]
+    pages = spark.createDataFrame([(i, f"http://{names[7 * i]}{names[7 * i + 3]}.{'net' if i % 3 else 'x.com'}/{'de' if i % 3 else 'en'}/", " ".join(names[i::40])) for i in range(40)] +
+                                  [(90, f"http://{names[59_000]}{names[12]}.org/{names[5]}{names[6]}/{'long' * 20}", None), (91, "http://freebets", "<p>free bets</p>")], "page_id long, url string, html string")
+    counts = url_filter.unigram_counts(pages)
+    assert len(counts) == 60_002 and max(counts.values()) == 1
+    splitter = url_filter.Segmenter(counts)
+    counted = url_filter.word_counts(pages)
+    urls = url_filter.with_rules(pages.drop("html")).groupBy("url_host", "url_path", "url_decided").count().withColumnRenamed("count", "k")
+    got = {r["run"]: r["words"] for r in url_filter.split_runs(url_filter.run_counts(urls), counted).collect()}
+    assert got["freebets"] == ["free", "bets"] and got[names[59_000] + names[12]] == [names[59_000], names[12]]
+    assert all(words == splitter.split(run) for run, words in got.items() if run[0] != "#")
+    score = {r["page_id"]: r["url_score"] for r in url_filter.judge_urls(pages).collect()}
+    tokens = [Counter(), Counter()]
+    for r in urls.where("url_decided is not null").collect():
+        tokens[r["url_decided"] == "block"].update(url_filter.bucket(t) for t in splitter.tokens(r["url_host"], r["url_path"]) for _ in range(r["k"]))
+    odds = lambda t: np.log((tokens[1][t] + 1) / (tokens[1].total() + url_filter.BUCKETS)) - np.log((tokens[0][t] + 1) / (tokens[0].total() + url_filter.BUCKETS))
+    want = sum(odds(url_filter.bucket(t)) for t in splitter.tokens(f"{names[59_000]}{names[12]}.org", f"/{names[5]}{names[6]}/{'long' * 20}"))
+    assert score[90] == pytest.approx(want, abs=1e-9)
+
+
 def test_viterbi_is_the_best_split():
     counts = {"a": 9, "ab": 5, "b": 4, "ba": 3, "abab": 1}
     s = url_filter.Segmenter(counts)

@@ -3,9 +3,9 @@ Bayes model over the words of their host and path, where concatenated host names
 split into words by unigram Viterbi.
 
 The unigram counts come from the words of all page texts, the naive Bayes counts from
-all URLs that a rule decides. Both models have a fixed size: the UNIGRAMS most
-frequent words, and 2 x BUCKETS token counts, summed in each task before they are
-shuffled, so only bounded data is gathered and broadcast.
+all URLs that a rule decides. Neither a dictionary nor the URLs come to the driver: each distinct run of
+letters in the URLs is joined with the counts of all words that it contains, split once, and joined with
+the URLs that have it. Only 2 x BUCKETS token counts, summed before, are gathered and broadcast.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no words, and
 gets the model's prior; without any URL that a rule decides the verdict is allow; repeated
@@ -15,6 +15,7 @@ columns of the result start with `url_`.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, read, small_batches
+from .common import ascii_lower, discard, materialise, read, small_batches
 
 RULES = (
     ("com/en/", "block"),
@@ -34,12 +35,11 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-UNIGRAMS = 50_000
 BUCKETS = 1 << 16
 MAX_WORD = 20
-MIN_COUNT = 3
 _REMEMBERED = 50_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_LETTERS = re.compile(r"[a-z]+")
 
 
 # -- rules ------------------------------------------------------------------------------
@@ -73,31 +73,24 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 # -- unigram segmentation ---------------------------------------------------------------
 
 
-def unigram_counts(pages: DataFrame, column: str = "html", size: int = UNIGRAMS) -> dict[str, int]:
-    """Counts of the most frequent words of all texts, without markup; at most `size` of them.
-
-    A histogram of the counts' logarithms, of a few thousand rows, gives the least count at which no
-    more than `size` words remain, and only those are gathered, however many tasks there are."""
+def word_counts(pages: DataFrame, column: str = "html") -> DataFrame:
+    """w, n: how often each word is in all texts, without markup."""
     text = F.regexp_replace(F.lower(F.col(column)), r"<[^>]*>", " ")
     word = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.col("w").rlike(rf"^[a-z]{{1,{MAX_WORD}}}$"))
-    counted = word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_COUNT)
-    counted = materialise(counted.withColumn("level", F.floor(F.log2("n") * 64).cast("int")), "url-words")
-    least, left = None, size
-    for level, words in sorted(((r["level"], r["k"]) for r in counted.groupBy("level").agg(F.count("*").alias("k")).collect()), reverse=True):
-        left -= words
-        if left < 0:
-            break
-        least = level
-    if least is None:
-        return {}
-    return {r["w"]: r["n"] for r in counted.where(F.col("level") >= least).select("w", "n").collect()}
+    return word.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def unigram_counts(pages: DataFrame, column: str = "html") -> dict[str, int]:
+    """The counts of all words as a dictionary, for tables of a few pages; judging does not gather them."""
+    return {r["w"]: r["n"] for r in word_counts(pages, column).collect()}
 
 
 class Segmenter:
     """Splits a run of letters at the least cost; a run that no word covers costs more the longer it is."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = math.log(max(1, sum(counts.values())))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """`total`: of all words' counts, where `counts` has only those that the runs contain."""
+        total = math.log(max(1, sum(counts.values()) if total is None else total))
         self.cost = {w: total - math.log(c) for w, c in counts.items()}
         self.unknown = total + math.log(10)
         self.done: dict[str, list[str]] = {}
@@ -129,11 +122,68 @@ class Segmenter:
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Host words marked as such, path words, and numbers by their length alone."""
-        out = []
-        for mark, part in (("h:", host), ("p:", path)):
-            for run in _TOKEN.findall(part.lower()):
-                out += [f"{mark}#{len(run)}"] if run[0].isdigit() else [mark + w for w in self.split(run)]
-        return out
+        return [mark + w for mark, run in runs_of(host, path) for w in ([run] if run[0] == "#" else self.split(run))]
+
+
+def runs_of(host: str, path: str) -> list[tuple[str, str]]:
+    """Mark and run of each run of letters, in order; a number is # and its length."""
+    found = [(mark, run) for mark, part in (("h:", host), ("p:", path)) for run in _TOKEN.findall(part.lower())]
+    return [(mark, f"#{len(run)}" if run[0].isdigit() else run) for mark, run in found]
+
+
+def _run_key(run: str) -> str:
+    """Stands for the run in tables that repeat it: a digest of a long one."""
+    return run if len(run) <= 32 else "=" + hashlib.blake2b(run.encode(), digest_size=16).hexdigest()
+
+
+def run_counts(urls: DataFrame) -> DataFrame:
+    """run, key, and how often the run is in hosts and paths of allowed (h0, p0) and blocked (h1, p1) URLs, of every
+    run in `urls` (url_host, url_path, url_decided, k)."""
+    names = ["h0", "h1", "p0", "p1"]
+
+    def run(batches):
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for host, path, kind, k in zip(*(c.to_pylist() for c in batch.columns)):
+                for mark, r in runs_of(host, path):
+                    count = counts.setdefault(r, [0, 0, 0, 0])
+                    if kind is not None:
+                        count[2 * (mark == "p:") + (kind == "block")] += k
+            columns = [pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([_run_key(r) for r in counts], pa.string()), *columns], names=["run", "key", *names])
+
+    found = urls.select("url_host", "url_path", "url_decided", "k").mapInArrow(run, "run string, key string, h0 long, h1 long, p0 long, p1 long")
+    return found.groupBy("run", "key").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """`runs` with `words`, the best split by the counts of all words."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def substrings(batches):
+        for batch in batches:
+            keys, inside = [], []
+            for key, run in zip(*(c.to_pylist() for c in batch.columns)):
+                found = {part[i:j] for part in _LETTERS.findall(run) for i in range(len(part)) for j in range(i + 1, min(len(part), i + MAX_WORD) + 1)}
+                keys += [key] * len(found)
+                inside += found
+                if len(inside) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(inside, pa.string())], names=["key", "w"])
+                    keys, inside = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(inside, pa.string())], names=["key", "w"])
+
+    def split(batches):
+        for batch in batches:
+            runs, known, ns_of = (batch.column(c).to_pylist() for c in ("run", "ws", "ns"))
+            words = [
+                [r] if r[0] == "#" else Segmenter(dict(zip(ws or (), ns or ())), total).split(r)
+                for r, ws, ns in zip(runs, known, ns_of)
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("run", "h0", "h1", "p0", "p1")), pa.array(words, pa.list_(pa.string()))], names=["run", "h0", "h1", "p0", "p1", "words"])
+
+    parts = runs.where("run not like '#%'").select("key", "run").mapInArrow(substrings, "key string, w string")
+    known = parts.join(counts, "w").groupBy("key").agg(F.collect_list(F.struct("w", "n")).alias("g")).select("key", F.col("g.w").alias("ws"), F.col("g.n").alias("ns"))
+    return runs.join(known, "key", "left").select("run", "h0", "h1", "p0", "p1", "ws", "ns").mapInArrow(split, "run string, h0 long, h1 long, p0 long, p1 long, words array<string>")
 
 
 def bucket(token: str) -> int:
@@ -143,24 +193,24 @@ def bucket(token: str) -> int:
 # -- naive Bayes ------------------------------------------------------------------------
 
 
-def token_counts(placed: DataFrame, unigrams) -> DataFrame:
-    """label, bucket, n over all URLs that a rule decides; label 1 is block, bucket -1 counts URLs."""
-    decided = placed.where("url_decided is not null").select("url_host", "url_path", "url_decided")
+def token_counts(split: DataFrame) -> DataFrame:
+    """label, bucket, n over all URLs that a rule decides; label 1 is block."""
 
     def run(batches):
-        segmenter, counts = Segmenter(unigrams.value), Counter()
         for batch in batches:
-            for host, path, kind in zip(*(c.to_pylist() for c in batch.columns)):
-                label = int(kind == "block")
-                counts[label, -1] += 1
-                counts.update((label, bucket(t)) for t in segmenter.tokens(host, path))
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())],
-            names=["label", "bucket", "n"],
-        )
+            counts = Counter()
+            for h0, h1, p0, p1, words in zip(*(batch.column(c).to_pylist() for c in ("h0", "h1", "p0", "p1", "words"))):
+                for label, mark, k in ((0, "h:", h0), (1, "h:", h1), (0, "p:", p0), (1, "p:", p1)):
+                    if k:
+                        for w in words:
+                            counts[label, bucket(mark + w)] += k
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())],
+                names=["label", "bucket", "n"],
+            )
 
-    return decided.mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return split.mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
 def bayes_weights(counts: list[tuple[int, int, int]]) -> tuple[float, np.ndarray] | None:
@@ -178,29 +228,59 @@ def bayes_weights(counts: list[tuple[int, int, int]]) -> tuple[float, np.ndarray
     return 0.0, logs[1] - logs[0]
 
 
-def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
-    """`pages` with url_host, url_path, url_rule, url_score (log odds of block; null where a rule decides) and url_verdict."""
-    spark = pages.sparkSession
-    small_batches(spark, 4096)
-    placed = with_rules(pages.drop(text), rules)
-    unigrams = spark.sparkContext.broadcast(unigram_counts(pages, text))
-    weights = spark.sparkContext.broadcast(
-        bayes_weights([(r["label"], r["bucket"], r["n"]) for r in token_counts(placed, unigrams).collect()])
-    )
+def url_scores(urls: DataFrame, split: DataFrame, weights: tuple[float, np.ndarray]) -> DataFrame:
+    """url_key, url_score of the URLs that no rule decides: the prior and the weights of their words.
+    A URL's weights are summed in the order of its runs, so its score is the same at every run."""
+    shared = urls.sparkSession.sparkContext.broadcast(weights)
+
+    def weigh(batches):
+        _, weight = shared.value
+        for batch in batches:
+            words = batch.column("words").to_pylist()
+            host, path = ([float(sum(weight[bucket(mark + w)] for w in ws)) for ws in words] for mark in ("h:", "p:"))
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(host, pa.float64()), pa.array(path, pa.float64())], names=["run", "host", "path"])
+
+    def runs(batches):
+        for batch in batches:
+            rows = [(key, run, n[0], n[1]) for key, h, p in zip(*(c.to_pylist() for c in batch.columns)) for run, n in _tally(runs_of(h, p)).items()]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["url_key", "run", "nh", "np"])
+
+    weighed = split.select("run", "words").mapInArrow(weigh, "run string, host double, path double")
+    parts = urls.where("url_decided is null").select("url_key", "url_host", "url_path").mapInArrow(runs, "url_key string, run string, nh long, np long")
+    summed = parts.join(weighed, "run").select("url_key", F.struct("run", (F.col("nh") * F.col("host") + F.col("np") * F.col("path")).alias("x")).alias("g")).groupBy("url_key").agg(F.sort_array(F.collect_list("g")).alias("gs"))
+    return summed.select("url_key", F.aggregate("gs", F.lit(float(weights[0])), lambda total, g: total + g["x"]).alias("url_score"))
 
-    @F.pandas_udf("double")
-    def score(hosts, paths):
-        import pandas as pd
 
-        segmenter = Segmenter(unigrams.value)
-        if weights.value is None:
-            return pd.Series([0.0] * len(hosts))
-        prior, weight = weights.value
-        return pd.Series([prior + float(sum(weight[bucket(t)] for t in segmenter.tokens(h, p))) for h, p in zip(hosts, paths)], dtype=float)
+def _tally(runs: list[tuple[str, str]]) -> dict[str, list[int]]:
+    found: dict[str, list[int]] = {}
+    for mark, run in runs:
+        found.setdefault(run, [0, 0])[mark == "p:"] += 1
+    return found
 
+
+def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
+    """`pages` with url_host, url_path, url_rule, url_score (log odds of block; null where a rule decides) and url_verdict."""
+    small_batches(pages.sparkSession, 4096)
+    placed = with_rules(pages.drop(text), rules)
+    key = F.md5(F.concat("url_host", F.lit("\0"), "url_path"))
+    urls = placed.groupBy("url_host", "url_path", "url_decided").agg(F.count("*").alias("k")).withColumn("url_key", key)
+    urls = materialise(urls, "url-distinct")
+    decided = [(int(r["url_decided"] == "block"), -1, r["k"]) for r in urls.where("url_decided is not null").groupBy("url_decided").agg(F.sum("k").alias("k")).collect()]
     # rows that a rule decides are not scored: they take the other branch of the union
     ruled = placed.where("url_decided is not null").withColumn("url_score", F.lit(None).cast("double"))
-    scored = placed.where("url_decided is null").withColumn("url_score", score("url_host", "url_path"))
+    scored = placed.where("url_decided is null")
+    if decided:
+        runs, counts = materialise(run_counts(urls), "url-runs"), materialise(word_counts(pages, text), "url-words")
+        split = materialise(split_runs(runs, counts), "url-split")
+        discard(runs)
+        discard(counts)
+        weights = bayes_weights(decided + [(r["label"], r["bucket"], r["n"]) for r in token_counts(split).collect()])
+        scores = url_scores(urls, split, weights).withColumnRenamed("url_key", "__url_key")
+        scored = scored.join(scores, key == F.col("__url_key"), "left").drop("__url_key")
+        scored = scored.withColumn("url_score", F.coalesce("url_score", F.lit(float(weights[0]))))
+    else:
+        scored = scored.withColumn("url_score", F.lit(0.0))
     return (
         ruled.unionByName(scored)
         .withColumn("url_verdict", F.coalesce("url_decided", F.when(F.col("url_score") > 0, "block").otherwise("allow")))
