@@ -8,7 +8,7 @@ letters in the URLs is joined with the counts of all words that it contains, spl
 the URLs that have it. Only 2 x BUCKETS token counts, summed before, are gathered and broadcast.
 
 Defined cases: a null url, or one without `://`, has empty host and path and no words, and
-gets the model's prior; without any URL that a rule decides the verdict is allow; repeated
+has score 0, as the model's prior is even; without any URL that a rule decides the verdict is allow; repeated
 rows are judged alike; an empty table gives no rows; other columns are carried along,
 columns of the result start with `url_`.
 """
