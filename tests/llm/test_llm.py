@@ -390,6 +390,13 @@ def test_tiff_media_columns(spark):
     assert tiff_media.file_digests(tiff_media.add_media(docs_of(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("words", [3, 400, 9000, 30_000])
+def test_payloads_of_the_lzw_class_are_lzw_however_long(words):
+    payload = next(p for p in (tiff_media.padded(prose(i, words))[1] for i in range(200)) if zlib.crc32(p) % 8 == 0)
+    pages = list(tiff_media.read_pages(tiff_media.encode_payload(payload)))
+    assert {p.compression for p in pages} == {5} and b"".join(p.pixels.tobytes() for p in pages) == payload
+
+
 # -- 6 ----------------------------------------------------------------------------------
 
 

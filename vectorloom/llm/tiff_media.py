@@ -284,13 +284,13 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def encode_payload(payload: bytes) -> bytes:
     """The payload as pages of 192 columns. Layout and compression follow from the payload alone:
-    by its CRC one in eight goes to LZW (PackBits beyond 4 rows, as LZW runs in Python here),
-    two to PackBits in tiles, the rest to deflate with predictor in strips or tiles."""
+    by its CRC one in eight goes to LZW in strips, two to PackBits in tiles, the rest to deflate
+    with predictor in strips or tiles."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_UNIT)
     pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
     choice = zlib.crc32(payload) % 8
     if choice == 0:
-        return write_pages(pages, LZW if len(rows) <= 4 else PACKBITS)
+        return write_pages(pages, LZW)
     if choice <= 2:
         return write_pages(pages, PACKBITS, tile=(64, 64))
     return write_pages(pages, DEFLATE, predictor=2, tile=(96, 128) if choice == 3 else None)
