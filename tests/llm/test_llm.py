@@ -397,6 +397,23 @@ def test_payloads_of_the_lzw_class_are_lzw_however_long(words):
     assert {p.compression for p in pages} == {5} and b"".join(p.pixels.tobytes() for p in pages) == payload
 
 
+def test_file_digests_come_from_page_rows(spark, monkeypatch):
+    # files of several pages, and more pages than fit into one batch of results
+    docs = docs_of(spark, [(1, prose(1, 60_000), "s"), (1, prose(1, 60_000), "s"), (None, "", "s"), (3, prose(3, 40_000), "s")] + [(10 + i, prose(i, 90), "s") for i in range(9)])
+    media = tiff_media.add_media(docs.coalesce(1))
+    explode, asked = tiff_media.explode_pages, []
+    monkeypatch.setattr(tiff_media, "HELD_BYTES", 150_000)
+    monkeypatch.setattr(tiff_media, "explode_pages", lambda m, *a, **k: asked.append(m) or explode(m, *a, **k))
+    got = tiff_media.file_digests(media).collect()
+    assert asked and len(got) == 13 and max(r["n_pages"] for r in got) > 2
+    plain = lambda r: (r["doc_id"], r["payload_sha256"], r["media_sha256"], r["media_bytes"], r["tail_crc32"])
+    want = []
+    for r in media.collect():
+        payload, data = tiff_media.padded(r["text"])[1], bytes(r["tiff_media"])
+        want.append((r["doc_id"], hashlib.sha256(payload).hexdigest(), hashlib.sha256(data).hexdigest(), len(data), zlib.crc32(payload[-16:])))
+    assert Counter(map(plain, got)) == Counter(want)
+
+
 # -- 6 ----------------------------------------------------------------------------------
 
 

@@ -37,6 +37,7 @@ _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 16: "Q"}
 PAYLOAD_UNIT = 192
 PAGE_ROWS = 512
 STRIP_ROWS = 128
+HELD_BYTES = 4 << 20
 
 
 # -- codecs -----------------------------------------------------------------------------
@@ -326,40 +327,48 @@ _PAGE_FIELDS = [
 
 
 def explode_pages(media: DataFrame, column: str = "tiff_media", on_error: str = "raise") -> DataFrame:
-    """One row a page, without the media column. Rows of a file stay together and in order, and a
-    batch of results is handed on after each file, so memory is bounded by the largest file."""
+    """One row a page, without the media column. Rows of a file stay together and in order, and results
+    are handed on at HELD_BYTES of pixels, so memory is bounded by the largest file."""
     small_batches(media.sparkSession)
     kept = [f for f in media.schema.fields if f.name != column and f.name not in {p.name for p in _PAGE_FIELDS}]
     schema = T.StructType([*kept, *_PAGE_FIELDS])
 
-    def run(batches):
+    def filled(batch, picked, rows):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
+        base = batch.select([f.name for f in kept]).take(pa.array(picked, pa.int64()))
+        columns = list(zip(*rows)) or [()] * len(_PAGE_FIELDS)
+        arrays = [pa.array(c, out.field(p.name).type) for c, p in zip(columns, _PAGE_FIELDS)]
+        return pa.RecordBatch.from_arrays([*base.columns, *arrays], schema=out)
+
+    def run(batches):
         for batch in batches:
             files = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            picked, rows = [], []
+            picked, rows, held = [], [], 0
             for i, data in enumerate(files):
                 try:
                     pages = list(read_pages(data or b""))
-                    rows += [(p.number, len(pages), p.pixels.shape[1], p.pixels.shape[0], p.pixels.shape[2], p.compression, p.tiled, p.pixels.tobytes(), None) for p in pages]
-                    picked += [i] * len(pages)
                 except ValueError as e:
                     if on_error != "null":
                         raise
                     rows.append((None,) * 8 + (str(e),))
                     picked.append(i)
-            base = batch.select([f.name for f in kept]).take(pa.array(picked, pa.int64()))
-            columns = list(zip(*rows)) or [()] * len(_PAGE_FIELDS)
-            arrays = [pa.array(c, out.field(p.name).type) for c, p in zip(columns, _PAGE_FIELDS)]
-            yield pa.RecordBatch.from_arrays([*base.columns, *arrays], schema=out)
+                    continue
+                for p in pages:
+                    rows.append((p.number, len(pages), p.pixels.shape[1], p.pixels.shape[0], p.pixels.shape[2], p.compression, p.tiled, p.pixels.tobytes(), None))
+                    picked.append(i)
+                    held += p.pixels.size
+                    if held > HELD_BYTES:
+                        yield filled(batch, picked, rows)
+                        picked, rows, held = [], [], 0
+            yield filled(batch, picked, rows)
 
     return media.mapInArrow(run, schema)
 
 
-def _features(pixels: np.ndarray) -> str:
-    """Mean and deviation of the samples, and the share of each quarter of the range, in thousandths."""
-    counts = np.bincount(pixels, minlength=256).astype(np.int64)
+def _features(counts: np.ndarray) -> str:
+    """From how often each sample is: mean and deviation of the samples, and the share of each quarter of the range, in thousandths."""
     n, level = int(counts.sum()), np.arange(256)
     mean = int((counts * level).sum()) / n
     deviation = max(0.0, int((counts * level * level).sum()) / n - mean * mean) ** 0.5
@@ -367,28 +376,37 @@ def _features(pixels: np.ndarray) -> str:
 
 
 def file_digests(media: DataFrame) -> DataFrame:
-    """A row a file: digests and features over its pages as they are read back, in one pass over the
-    files (the pages of a file are read where the file is, so nothing is shuffled)."""
-    small_batches(media.sparkSession)
+    """A row a file: digests and features over the rows that `explode_pages` gives of it. They come
+    together and in the order of pages, so they are summed up as they come and nothing is shuffled."""
+    files = media.select("doc_id", "tiff_n_bytes", F.octet_length("tiff_media").cast("long").alias("media_bytes"), F.sha2("tiff_media", 256).alias("media_sha256"), "tiff_media")
+    pages = explode_pages(files)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
 
     def run(batches):
+        due = 0  # the page that comes next
         for batch in batches:
-            table = batch.to_pydict()
             rows = []
-            for doc, n, data in zip(table["doc_id"], table["tiff_n_bytes"], table["tiff_media"]):
-                pages = list(read_pages(data))
-                payload = b"".join(p.pixels.tobytes() for p in pages)
-                rows.append(
-                    (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                     _features(np.frombuffer(payload, np.uint8)), len(pages))
-                )
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages"]
+            for doc, n, size, sha, page, of, pixels in zip(*(c.to_pylist() for c in batch.columns)):
+                if page != due:
+                    raise ValueError(f"TIFF: page {page} came where page {due} was due")
+                if page == 0:
+                    digest, length, tail, counts = hashlib.sha256(), 0, b"", np.zeros(256, np.int64)
+                digest.update(pixels)
+                length += len(pixels)
+                tail = (tail + pixels[-16:])[-16:]
+                counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+                due = page + 1
+                if due == of:
+                    rows.append((doc, n, length, digest.hexdigest(), zlib.crc32(tail), size, sha, _features(counts), of))
+                    due = 0
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        if due:
+            raise ValueError("TIFF: the last pages of a file did not come")
 
     doc = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "tiff_n_bytes", "tiff_media").mapInArrow(
+    return pages.select("doc_id", "tiff_n_bytes", "media_bytes", "media_sha256", "tiff_page", "tiff_pages", "tiff_pixels").mapInArrow(
         run,
         f"doc_id {doc}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long",
     )
