@@ -224,6 +224,20 @@ def test_components_of_paths_and_stars(spark):
     assert {k: v for k, v in got.items()} == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_rows_without_doc_id_are_compared(spark):
+    words = [f"w{i}" for i in range(200)]
+    text = lambda changed, base=words: " ".join("x" + w if i in changed else w for i, w in enumerate(base))
+    other = [f"v{i}" for i in range(120)]
+    # 1 and 2 link by a row without doc_id alone; a group of rows without any doc_id; a lone one; blanks
+    rows = [(1, text({0, 4, 8})), (None, text(set())), (2, text({190, 194, 198})), (None, text(set(), other)), (None, text(set(), other)), (None, text({60}, other)),
+            (None, "quite another text of its own here"), (None, " "), (None, None), (5, "alone " * 3 + "and numbered text"), (None, text({0, 4, 8}))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    got = ngram_join.join_components(docs).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(1, 1): 1, (2, 1): 1, (None, 1): 2, (5, 5): 1, (None, None): 6})
+    kept = sorted(r["k"] for r in ngram_join.keep_representatives(docs).collect())
+    assert len(kept) == 6 and {0, 6, 7, 8, 9} < set(kept) and len(set(kept) & {3, 4, 5}) == 1
+
+
 # -- 4 ----------------------------------------------------------------------------------
 
 URLS = [

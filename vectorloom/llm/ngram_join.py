@@ -24,8 +24,8 @@ Then links give components. Sets are named by a 64-bit digest of all their hashe
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer than `size`
 words are one n-gram; repeated rows and equal texts share a component, and so do rows of one
-doc_id with different texts as far as links go; rows without doc_id belong to the component of an equal set
-that has one, else to none (null); an empty table gives no rows; other columns are ignored.
+doc_id with different texts as far as links go; sets of rows without doc_id are compared like others and link
+them, and such rows have the component of their group, which is null where no row of it has a doc_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialise, read, small_batches
 from .components import connected_components
@@ -100,7 +101,8 @@ def survivors(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """sid and hash of every n-gram of the chosen sets, from their representatives' texts."""
+    """sid and hash of every n-gram of the chosen sets, from their representatives' texts; sets that only
+    rows without doc_id have are found by their sid."""
     texts = docs.select("doc_id", "text").join(chosen.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
 
     def run(batches):
@@ -109,7 +111,11 @@ def _whole_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                 if len(s):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), _set_id(s)), pa.int64()), pa.array(s.astype(np.int64))], names=["sid", "h"])
 
-    return texts.mapInArrow(run, "sid long, h long")
+    grams = texts.mapInArrow(run, "sid long, h long")
+    nameless = chosen.where("rep is null").select("sid")
+    if nameless.isEmpty():
+        return grams
+    return grams.unionByName(docs.where("doc_id is null").select("doc_id", "text").mapInArrow(run, "sid long, h long").join(nameless, "sid", "left_semi").distinct())
 
 
 def _with_counts(grams: DataFrame) -> DataFrame:
@@ -261,8 +267,8 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
     return sure.unionByName(led).unionByName(anchored).unionByName(far).where("u <> v").distinct()
 
 
-def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _groups_of_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, sid of every row; and set, component_id, first (it has the component's least node) of every set."""
     spark = docs.sparkSession
     small_batches(spark)
     with_low = materialise(document_sets(docs, size), "join-low")
@@ -276,22 +282,56 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     discard(grams)
     _release(spark)
     edges = materialise(links(segments, percent), "join-links")
-    name = chosen.select("sid", "rep")
-    named = edges.join(name.select(F.col("sid").alias("u"), F.col("rep").alias("ru")), "u").join(name.select(F.col("sid").alias("v"), F.col("rep").alias("rv")), "v")
+    node, number = F.col("rep"), F.col("component")
+    if not chosen.where("rep is null").isEmpty():
+        # sets without a doc_id are nodes of their own, after all that have one
+        node = F.struct(F.col("rep").isNull().alias("none"), "rep", F.when(F.col("rep").isNull(), F.col("sid")).alias("sid"))
+        number = F.col("component.rep")
+    name = chosen.select("sid", node.alias("node"))
+    named = edges.join(name.select(F.col("sid").alias("u"), F.col("node").alias("ru")), "u").join(name.select(F.col("sid").alias("v"), F.col("node").alias("rv")), "v")
     found = connected_components(named.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    of_set = by_set.join(found, by_set["rep"] == found["node"], "left").select(F.col("sid").alias("set"), F.coalesce("component", "rep").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, F.col("sid") == F.col("set"), "left").select(
+    by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")).withColumn("own", node)
+    of_set = by_set.join(found, by_set["own"] == found["node"], "left").select(
+        F.col("sid").alias("set"), F.coalesce(number, "rep").alias("component_id"), F.coalesce(F.col("own") == F.col("component"), F.lit(True)).alias("first")
+    )
+    return sets, of_set
+
+
+def _components_of_rows(sets: DataFrame, of_set: DataFrame) -> DataFrame:
+    return sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set.select("set", "component_id"), F.col("sid") == F.col("set"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _components_of_rows(*_groups_of_sets(docs, size, percent))
+
+
+def _with_sid(docs: DataFrame, size: int) -> DataFrame:
+    """`docs` with __join_sid, as `document_sets` has it."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")).to_pylist(), size)
+            sids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sids], names=[*batch.schema.names, "__join_sid"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__join_sid", T.LongType())]))
+
+
+def keep_representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One document of each group stays, the one with the least doc_id (rows that repeat its doc_id
-    stay with it); columns of `docs`."""
-    groups = join_components(docs, **options)
-    keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__join_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__join_kept")), "left_semi")
+    stay with it), or one row where none has a doc_id; rows of empty sets stay; columns of `docs`."""
+    sets, of_set = _groups_of_sets(docs, size, percent)
+    keep = _components_of_rows(sets, of_set).where("doc_id = component_id").select(F.col("doc_id").alias("__join_kept")).distinct()
+    kept = docs.join(keep, F.col("doc_id") == F.col("__join_kept"), "left_semi")
+    if sets.where("doc_id is null").isEmpty():
+        return kept
+    rest = _with_sid(docs.where("doc_id is null"), size)
+    firsts = of_set.where("component_id is null and first").select("set")
+    single = rest.join(firsts, F.col("__join_sid") == F.col("set"), "left_semi").dropDuplicates(["__join_sid"])
+    return kept.unionByName(rest.where("__join_sid is null").unionByName(single).drop("__join_sid"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
