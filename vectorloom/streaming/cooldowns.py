@@ -11,26 +11,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vectorloom.functions.session import batch_rows
-
 OUT = "provider string, event_id long, ts timestamp, blocked boolean"
 
 
 def stream_cooldowns(events: DataFrame, seconds: float) -> DataFrame:
-    """`events` has provider, event_id, ts and is_limit; append mode."""
+    """`events` has provider, event_id, ts and is_limit; append mode. Ends of cooldowns are whole microseconds, as
+    timestamps are. An event that comes in a later micro-batch than its time is judged by the state it meets."""
+    wait = round(seconds * 1e6)
 
     def step(key, batches, state: GroupState):
         until = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values(["ts", "event_id"])
         blocked = []
         for ts, limit in zip(rows["ts"], rows["is_limit"]):
-            now = ts.value / 1e9
+            now = ts.value // 1000
             blocked.append(until is not None and until > now)
             if limit:
-                until = now + seconds
+                until = now + wait
         if until is not None:
             state.update((until,))
         yield pd.DataFrame({"provider": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "blocked": blocked})
 
-    batch_rows(events.sparkSession, 10_000)
-    return events.groupBy("provider").applyInPandasWithState(step, OUT, "until double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("provider").applyInPandasWithState(step, OUT, "until long", "append", GroupStateTimeout.NoTimeout)
