@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectorloom.evaluate import forced
 from vectorloom.functions import vectors as V
+from vectorloom.functions.folders import remove, shared_dir
 from vectorloom.functions.text import file_stem, file_suffix, raw_text_id
-from vectorloom.operators import alignment, chunking, rate_limits, retrieval
+from vectorloom.operators import alignment, chunking, ingest, rate_limits, retrieval
 from vectorloom.operators.ingest import Pipeline
-from vectorloom.operators.providers import HashProvider, LetterProvider, LinearProvider, ScriptedProvider
+from vectorloom.operators.providers import HashProvider, LetterProvider, LinearProvider, NoProviderAvailableError, ScriptedProvider
 from vectorloom.sources import anchors as anchor_source
 from vectorloom.sources.documents import from_html
 from vectorloom.sources.sinks import document_json
@@ -68,7 +69,11 @@ def path_parts(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", file_stem(F.col("url")).alias("stem"), file_suffix(F.col("url")).alias("suffix"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, string_split(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!/a-zA-Z][^>]*>', chr(1), 'g'), chr(1)) AS nodes FROM pages)
+SELECT page_id AS doc_id, regexp_replace(replace(replace(replace(array_to_string(list_filter(nodes, lambda x: x <> ''), chr(10)),
+  '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;?', '&', 'g') AS text FROM p
+""")
 def html_text(spark, sf_dir):
     return from_html(_table(spark, sf_dir, "pages"), "page_id")
 
@@ -145,12 +150,42 @@ def chunk_semantic(spark, sf_dir):
     return chunking.SemanticChunker().chunk(_docs(spark, sf_dir)).select("doc_id", "chunk_idx", "text")
 
 
-@query()
+@query(r"""
+WITH t AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS parts FROM documents
+), o AS (
+  SELECT doc_id, i, parts[i] AS h, sum(length(parts[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM t)
+), s AS (
+  SELECT doc_id, list({'h': h, 's': CAST(e - length(h) AS BIGINT), 'e': CAST(e AS BIGINT)} ORDER BY i) AS ss FROM o WHERE i % 2 = 1 AND trim(h) <> '' GROUP BY doc_id
+), f AS (
+  SELECT doc_id, list_reduce(list_transform(ss, lambda x: [x]), lambda a, x:
+    CASE WHEN length(a[-1].h) + length(x[1].h) > 500 THEN a || x
+    ELSE a[:-2] || [{'h': a[-1].h || ' ' || x[1].h, 's': CASE WHEN a[-1].s = 0 THEN x[1].s ELSE a[-1].s END, 'e': x[1].e}] END) AS c FROM s
+)
+SELECT doc_id, CAST(i - 1 AS INT) AS chunk_idx, doc_id || ':' || (i - 1) AS chunk_id, c[i].s AS start_char, CASE WHEN i < len(c) THEN c[i + 1].s ELSE c[i].e END AS end_char
+FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM f)
+""")
 def chunk_semantic_offsets(spark, sf_dir):
     return chunking.SemanticChunker().chunk(_docs(spark, sf_dir)).drop("text")
 
 
-@query()
+# Each level takes the pieces that are too long, splits them, and packs what it gets; '' stands for nothing held.
+_PACK = """list_filter(list_reduce(list_prepend([''], list_transform(string_split(x, {sep}), lambda y: [y])), lambda a, p:
+    CASE WHEN length(CASE WHEN a[-1] = '' THEN p[1] ELSE a[-1] || {sep} || p[1] END) <= 1000 THEN a[:-2] || [CASE WHEN a[-1] = '' THEN p[1] ELSE a[-1] || {sep} || p[1] END]
+    ELSE list_concat(CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END, CASE WHEN length(p[1]) > 1000 THEN [p[1], ''] ELSE [p[1]] END) END), lambda y: y <> '')"""
+_LEVELS = "SELECT doc_id, text, [text] AS ps FROM documents"
+for _sep in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"):
+    _LEVELS = f"SELECT doc_id, text, flatten(list_transform(ps, lambda x: CASE WHEN length(x) <= 1000 THEN [x] ELSE {_PACK.format(sep='(' + _sep + ')')} END)) AS ps FROM ({_LEVELS})"
+_RECURSIVE = f"""
+  SELECT doc_id, CAST(i - 1 AS INT) AS chunk_idx, doc_id || ':' || (i - 1) AS chunk_id, c[i + 1].t AS text, c[i + 1].e - length(c[i + 1].t) AS start_char, c[i + 1].e AS end_char
+  FROM (SELECT doc_id, c, unnest(range(1, len(c))) AS i FROM (
+    SELECT doc_id, list_reduce(list_prepend([{{'t': '', 'e': 0::BIGINT}}], list_transform(ps, lambda x: [{{'t': x, 'e': 0::BIGINT}}])), lambda a, x:
+      a || [{{'t': x[1].t, 'e': a[-1].e + greatest(strpos(substr(text, a[-1].e + 1), x[1].t) - 1, 0) + length(x[1].t)}}]) AS c FROM ({_LEVELS})))
+"""
+
+
+@query(f"SELECT doc_id, chunk_idx, chunk_id, text, start_char, end_char FROM ({_RECURSIVE})")
 def chunk_recursive(spark, sf_dir):
     return chunking.RecursiveChunker().chunk(_docs(spark, sf_dir))
 
@@ -191,16 +226,16 @@ WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE)
 SELECT label, i - 1 AS pos, CAST(round(avg(v[i]) * 10000) AS BIGINT) AS mean_e4 FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i
 """)
 def mean_pool(spark, sf_dir):
-    """Token vectors by label, averaged. A pool is one response's tokens, so its array is bounded."""
-    grouped = _table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list(F.struct("vec_id", V.as_double(F.col("embedding")).alias("v"))).alias("t"))
-    pooled = grouped.select("label", F.posexplode(V.mean_pool(F.transform(F.array_sort("t"), lambda x: x["v"]))).alias("pos", "x"))
+    """Vectors by label, averaged by position."""
+    pooled = V.mean_pool_by(_table(spark, sf_dir, "embeddings"), ["label"], "embedding")
     return pooled.select("label", "pos", F.round(F.col("x") * 10000).cast("long").alias("mean_e4"))
 
 
 @query(r"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT vec_id, CAST(round(sqrt(list_sum(list_transform(v, lambda x: x * x))) * 1000) AS BIGINT) AS norm_e3,
-  CAST(round(list_sum(list_transform(v[1:32], lambda x: x * x)) * 10000) AS BIGINT) AS half_dot_e4, 80 AS padded, 32 AS cut
+  CAST(round(list_sum(list_transform(v[1:32], lambda x: x * x)) * 10000) AS BIGINT) AS half_dot_e4,
+  len(v || list_transform(range(0, 80 - len(v)), lambda x: 0::DOUBLE)) AS padded, len(v[1:32]) AS cut
 FROM e
 """)
 def vector_functions(spark, sf_dir):
@@ -299,21 +334,21 @@ def _diagnostics(spark, d: alignment.Diagnostics) -> DataFrame:
     return spark.createDataFrame([row], "anchors long, reduced_dimension int, scale double, error double, explained double, fallback string, rank int")
 
 
-@query("SELECT CAST(500 AS BIGINT) AS anchors, 0.4::DOUBLE AS scale, 0.0::DOUBLE AS error, 1.0::DOUBLE AS confidence, 64 AS rank")
+@query("SELECT count(*) AS anchors, 0.4::DOUBLE AS scale, 0.0::DOUBLE AS error, 1.0::DOUBLE AS confidence, max(len(embedding)) AS rank FROM embeddings")
 def align_diagnostics(spark, sf_dir):
     there = _space(_paired(_vectors(spark, sf_dir)), _signed_permutation(64))
     _, found = alignment.fit_alignment_table(there, "vector", "target", "id")
     return _diagnostics(spark, found).select("anchors", "scale", "error", alignment.confidence(F.col("error")).alias("confidence"), "rank")
 
 
-@query("SELECT CAST(500 AS BIGINT) AS anchors, 64 AS reduced_dimension, 'padded_zeros' AS fallback, 32 AS rank")
+@query("SELECT count(*) AS anchors, max(len(embedding)) AS reduced_dimension, 'padded_zeros' AS fallback, max(len(embedding[1:32])) AS rank FROM embeddings")
 def align_padded(spark, sf_dir):
     narrow = _paired(_vectors(spark, sf_dir)).withColumn("vector", V.truncate(F.col("vector"), 32))
     _, found = alignment.fit_alignment_table(narrow, "vector", "target", "id")
     return _diagnostics(spark, found).select("anchors", "reduced_dimension", "fallback", "rank")
 
 
-@query("SELECT CAST(500 AS BIGINT) AS anchors, 16 AS reduced_dimension, TRUE AS accepted")
+@query("SELECT count(*) AS anchors, max(len(embedding[1:16])) AS reduced_dimension, TRUE AS accepted FROM embeddings")
 def align_pca(spark, sf_dir):
     """A wider space of low rank is reduced, and its vectors come out in the narrower one."""
     narrow = _vectors(spark, sf_dir).withColumn("vector", V.truncate(F.col("vector"), 16))
@@ -456,7 +491,8 @@ def stream_cooldown(spark, sf_dir):
     events = source.select(
         F.col("user_id").cast("string").alias("provider"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("is_limit")
     )
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='vectorloom-')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove(spark, out, at_exit=True)
     flow = stream_cooldowns(events, 6 * 3600.0).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows")
     flow.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("event_id", "provider", "blocked")
@@ -488,11 +524,21 @@ def fallback_canonical(spark, sf_dir):
 @query(_FALLBACK_SQL + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) FILTER (WHERE provider <> canonical_provider) AS provider_switches FROM p JOIN k USING (doc_id) GROUP BY doc_id")
 def provider_switches(spark, sf_dir):
     embedded = _fallback(spark, sf_dir)
-    both = embedded.join(Pipeline.canonical(embedded), "doc_id")
-    return both.groupBy("doc_id").agg(F.sum((F.col("provider") != F.col("canonical_provider")).cast("int")).alias("provider_switches"))
+    return ingest.provider_switches(embedded.join(Pipeline.canonical(embedded), "doc_id"))
 
 
-@query()
+_BY_LENGTH = """
+WITH p AS (SELECT *, {provider} AS provider FROM ({chunks})),
+k AS (SELECT doc_id, {canonical} AS canonical_provider FROM p GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_idx, chunk_id, provider, CASE WHEN provider <> canonical_provider THEN canonical_provider END AS aligned_to,
+  canonical_provider, {more} FROM p JOIN k USING (doc_id)
+"""
+
+
+@query(_BY_LENGTH.format(
+    chunks=_RECURSIVE, provider="CASE WHEN length(text) % 3 = 0 AND text NOT IN (SELECT text FROM benchmark) THEN 'backup' ELSE 'primary' END",
+    canonical="max(provider)", more="1.0::DOUBLE AS alignment_confidence, 16 AS dimension",
+))
 def ingest_aligned(spark, sf_dir):
     """The whole path on all documents: chunk, fall back, align into each document's canonical space."""
     base = HashProvider("primary", dimension=16)
@@ -504,6 +550,32 @@ def ingest_aligned(spark, sf_dir):
     return found.select("doc_id", "chunk_idx", "chunk_id", "provider", "aligned_to", "canonical_provider", F.round("alignment_confidence", 6).alias("alignment_confidence"), F.size("vector").alias("dimension"))
 
 
+@query(_BY_LENGTH.format(
+    chunks=_FIXED_ROWS, provider="CASE WHEN length(text) % 3 = 1 THEN 'backup' ELSE 'primary' END",
+    canonical="CASE WHEN bool_or(length(text) % 3 = 0) THEN 'primary' WHEN bool_or(length(text) % 3 = 1) THEN 'backup' ELSE 'primary' END",
+    more="length(text) % 3 <> 2 AS is_resumed",
+))
+def ingest_resumed(spark, sf_dir):
+    """A run that ends without a provider left, and the one after it, which asks for what was not answered alone."""
+    base = HashProvider("primary", dimension=16)
+    turn = np.linalg.qr(np.random.default_rng(5).normal(size=(16, 16)))[0]
+    folder = f"{shared_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    remove(spark, folder, at_exit=True)
+
+    def run(*answered):
+        known = {r["text"] for r in _anchors(spark, sf_dir).collect()}
+        refuse = lambda lengths: lambda text: None if len(text) % 3 in lengths or text in known else (rate_limits.SHORT, 30.0)
+        providers = [ScriptedProvider(p, refuse(lengths)) for p, lengths in zip((base, LinearProvider(base, 2.0 * turn, "backup")), answered)]
+        return Pipeline(spark, providers, "fixed", anchors=_anchors(spark, sf_dir), checkpoint_dir=folder).ingest(_docs(spark, sf_dir))
+
+    try:
+        run((0,), (1,))
+    except NoProviderAvailableError:
+        pass
+    found = run((0, 1, 2), ()).chunks
+    return found.select("doc_id", "chunk_idx", "chunk_id", "provider", "aligned_to", "canonical_provider", "is_resumed")
+
+
 _CKPT = f"SELECT *, (doc_id + chunk_idx) % 3 = 0 AS saved FROM ({_FIXED_ROWS})"
 
 
@@ -511,22 +583,22 @@ _CKPT = f"SELECT *, (doc_id + chunk_idx) % 3 = 0 AS saved FROM ({_FIXED_ROWS})"
 def resume_remaining(spark, sf_dir):
     chunks = chunking.FixedChunker().chunk(_docs(spark, sf_dir))
     saved = chunks.where((F.col("doc_id") + F.col("chunk_idx")) % 3 == 0).select("chunk_id")
-    return chunks.select("chunk_id").join(saved, "chunk_id", "left_anti")
+    return ingest.remaining(chunks.select("chunk_id"), saved, ["chunk_id"])
 
 
 @query(f"SELECT chunk_id, 'primary' AS provider FROM ({_CKPT}) WHERE saved")
 def resume_restored(spark, sf_dir):
     chunks = chunking.FixedChunker().chunk(_docs(spark, sf_dir))
     saved = chunks.where((F.col("doc_id") + F.col("chunk_idx")) % 3 == 0).select("chunk_id", F.lit("primary").alias("provider"))
-    return chunks.select("chunk_id").join(saved, "chunk_id")
+    return ingest.restored(chunks, saved, ["chunk_id"])
 
 
 @query(f"SELECT chunk_id, chunk_idx // 5 AS batch, ['a', 'b', 'c'][chunk_idx % 3 + 1] AS provider FROM ({_FIXED_ROWS})")
 def batches_round_robin(spark, sf_dir):
     """Batch numbers by concurrency, and the evaluator's forced provider."""
     chunks = chunking.FixedChunker().chunk(_docs(spark, sf_dir))
-    forced = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.pmod(F.col("chunk_idx"), F.lit(3)) + 1)
-    return chunks.select("chunk_id", F.floor(F.col("chunk_idx") / 5).alias("batch"), forced.alias("provider"))
+    provider = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), forced(F.col("chunk_idx"), 3) + 1)
+    return chunks.select("chunk_id", ingest.batch_number(F.col("chunk_idx")).alias("batch"), provider.alias("provider"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_chunks, max(end_char) AS last_end FROM ({_FIXED_ROWS}) GROUP BY doc_id")
@@ -540,7 +612,3 @@ def json_sink(spark, sf_dir):
     return out.where(F.size("chunks") > 0).select(
         "doc_id", F.size("chunks").cast("long").alias("n_chunks"), ((F.size("chunks") - 1) * 900 + F.length(F.element_at("chunks", -1)["text"])).alias("last_end")
     )
-
-
-def entry(spark: SparkSession) -> DataFrame:
-    return embed_letters(spark, "/root/testdata/sf0.001")
