@@ -5,7 +5,7 @@ byte positions holds, for each live part, the rank of the pair that it forms wit
 right neighbour; the root is the leftmost pair of least rank, and a merge updates three
 leaves, so a piece of n bytes takes O(n log n) however long it is.
 
-Pieces repeat, so their ids are remembered, in stores of bounded size.
+Pieces repeat, so their ids are remembered, in a store bounded by bytes.
 
 Defined cases: null text is empty; empty text has no ids; special tokens' strings are
 ordinary text; repeated rows are encoded alike; other columns are carried along; the
@@ -15,17 +15,22 @@ results are `bpe_ids` (32-bit little-endian) and `bpe_bytes`, which replace such
 from __future__ import annotations
 
 import base64
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small_batches
+from vectorloom.functions.batches import slices
+
+from .common import read
 
 _NONE = 1 << 62
 _FAN = 16
-_REMEMBERED = 150_000
+# What a worker remembers: two generations of pieces of up to _LONGEST_KEPT characters, 64 MB each.
+_STORE_BYTES, _ENTRY_BYTES, _LONGEST_KEPT = 64 << 20, 220, 64
+_LONG_TEXT = 1 << 20
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -81,19 +86,23 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class _Store(dict):
-    """Computed on first use. When full it becomes the elder generation, whose keys still in use are taken over."""
+    """Ids of pieces, computed on first use. When it has about _STORE_BYTES it becomes the elder generation, whose
+    pieces still in use are taken over. Long pieces are not kept."""
 
     def __init__(self, compute):
-        self.compute, self.elder = compute, {}
-
-    def __missing__(self, key):
-        if len(self) >= _REMEMBERED:
-            self.elder = dict(self)
+        self.compute, self.elder, self.room = compute, {}, _STORE_BYTES
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.elder.get(piece)) is None:
+            ids = self.compute(piece)
+            if len(piece) > _LONGEST_KEPT:
+                return ids
+        self.room -= _ENTRY_BYTES + 4 * len(piece) + len(ids)
+        if self.room < 0:
+            self.elder, self.room = dict(self), _STORE_BYTES
             self.clear()
-        if (value := self.elder.get(key)) is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
+        self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -102,23 +111,20 @@ class Codec:
 
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pieces = regex.compile(pattern).findall
-        self.chunks = regex.compile(r"\s*\S+|\s+").findall
-        self.uneven = regex.compile(r"\s\s|\A\s|\s\Z").search
+        self.pattern = regex.compile(pattern)
+        if self.pattern.groups:
+            raise ValueError("the pattern must not have groups: each match is a piece")
         self.piece_ids = _Store(lambda piece: b"".join(i.to_bytes(4, "little") for i in merge(piece.encode(), ranks, self.longest)))
-        self.chunk_ids = _Store(self._chunk)
-        self.spaced_ids = _Store(lambda word: self._chunk(" " + word))
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.piece_ids.__getitem__, self.pieces(chunk)))
 
     def encode(self, text: str) -> bytes:
-        """Ids as 32-bit little-endian numbers. A piece never spans from other than white space to
-        white space, so a text may be cut there and each part be looked up by itself."""
-        if self.uneven(text):
-            return b"".join(map(self.chunk_ids.__getitem__, self.chunks(text)))
-        first, *rest = text.split(" ")
-        return (self.chunk_ids[first] if first else b"") + b"".join(map(self.spaced_ids.__getitem__, rest))
+        """Ids as 32-bit little-endian numbers. The pieces of a long text are taken some at a time."""
+        ids_of = self.piece_ids.__getitem__
+        if len(text) <= _LONG_TEXT:
+            return b"".join(map(ids_of, self.pattern.findall(text)))
+        found, out = (m.group() for m in self.pattern.finditer(text)), []
+        while some := b"".join(map(ids_of, islice(found, 100_000))):
+            out.append(some)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I").tolist()))
@@ -140,14 +146,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     """`docs` with `bpe_ids` and `bpe_bytes`, the latter decoded from the ids. The rank file is read
     on the driver and broadcast: some 50,000 entries, under 1 MB, whatever the corpus."""
     spark = docs.sparkSession
-    small_batches(spark)
     with open(ranks_path, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
     docs = docs.drop("bpe_ids", "bpe_bytes")
 
     def run(batches):
         codec = _codec(shared.value, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             ids = [codec.encode(s or "") for s in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             back = [codec.decode(i) for i in ids]
             yield pa.RecordBatch.from_arrays(
