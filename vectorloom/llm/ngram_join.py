@@ -6,21 +6,24 @@ sets link when 100 * |intersection| >= percent * |union|.
 
 Which pairs are counted follows from exact filters alone, so no link is lost:
 
-1. Documents of equal sets are one set, with the least doc_id as representative.
+1. Documents of equal sets, by a digest of 128 bits, are one set, with the least doc_id as representative.
 2. A set that links cannot have more than (100 - percent) % n-grams found nowhere else. N-grams
    of the first quarter of the order are counted first; sets that fail on these alone are done.
-3. Of the rest, each n-gram's number of sets is counted. A linked pair shares an n-gram among
-   each one's rarest (prefix filter); sets that share one and are of like length meet
-   in a group.
-4. A group never pairs its members with each other. All are compared with one leader, and for
+3. Of the rest, which are numbered, each n-gram's number of sets is counted. A linked pair shares an
+   n-gram among each one's rarest (prefix filter); sets that share one and are of like
+   length follow the same leader.
+4. A leader's group never pairs its members with each other. All are compared with one leader, and for
    two members x, y with deviations X, Y from the leader |x ^ y| = |X| + |Y| - 2 |X & Y|
    (^ is symmetric difference). So either |X| + |Y| is small enough that they link
    for certain, and then both also link with the member of least deviation, or they must
    share deviations, which are joined by prefix filter in turn. N-grams that the
    whole group has in common, however large it is, take no part in that.
 
-Then links give components. Sets are named by a 64-bit digest of all their hashes, n-grams by
-64-bit hashes: up to some 10^8 sets no two are expected to collide.
+Then links give components. Two n-grams of one pair of sets count as common if their 64-bit hashes are equal,
+so overlaps are exact unless n-grams of these two sets collide.
+
+A group may hold any share of the sets: comparisons with the leader are dealt by pairs, best members are found by
+partial aggregation, and deviations are dealt by leader and n-gram, never by leader alone.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer than `size`
 words are one n-gram; repeated rows and equal texts share a component, and so do rows of one
@@ -30,7 +33,6 @@ them, and such rows have the component of their group, which is null where no ro
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -39,7 +41,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise, read, small_batches
+from vectorloom.functions.batches import slices
+
+from .common import discard, materialise, read
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -47,37 +51,44 @@ SIZE = 4
 PERCENT = 85
 FRAGMENTS = 4
 _QUARTER = np.uint64(1 << 62)
+_DIGEST = ["__join_s1", "__join_s2"]
 _MISSING = 1 << 40  # deviations that are missing come after all that are added
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are written down."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _set_id(hashes: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """A set's digest of 128 bits as two numbers; none for the empty set."""
+    if not len(hashes):
+        return None, None
+    raw = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _set_id(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _texts(batches, column: int | str):
+    """Batches of bounded texts, with the texts."""
+    for whole in batches:
+        for batch in slices(whole, column):
+            yield batch, batch.column(column).to_pylist()
 
 
 def document_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n (set size), sid (the set's digest; null if empty), low (its hashes in the first quarter)."""
+    """doc_id, n (set size), s1, s2 (the set's digest; null if empty), low (its hashes in the first quarter)."""
     doc = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), size)
+        for batch, texts in _texts(batches, "text"):
+            sets = shingle_sets(texts, size)
+            ids = [_set_id(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
+                    *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)),
                     pa.array([s[s < _QUARTER].astype(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "sid", "low"],
+                names=["doc_id", "n", "s1", "s2", "low"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, n long, sid long, low array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, n long, s1 long, s2 long, low array<long>")
 
 
 def _spare(n: Column, percent: int) -> Column:
@@ -86,36 +97,54 @@ def _spare(n: Column, percent: int) -> Column:
 
 
 def survivors(sets: DataFrame, percent: int) -> DataFrame:
-    """sid, n, rep of the sets whose n-grams in the first quarter do not rule out every link."""
-    by_set = sets.where("sid is not null").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
-    alone = (
-        sets.where("sid is not null").select("sid", F.explode("low").alias("h"))
-        .groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("b"))
-        .where("a = b").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("alone"))
-    )
-    return (
-        by_set.join(alone, "sid", "left")
-        .where(F.coalesce("alone", F.lit(0)) <= _spare(F.col("n"), percent))
-        .select("sid", "n", "rep")
-    )
+    """s1, s2, n, rep, copies (rows of rep with this set) of the sets whose n-grams in the first quarter do not
+    rule out every link."""
+    named = sets.where("s1 is not null")
+    rows = named.groupBy("s1", "s2", "n", "doc_id").agg(F.count("*").alias("k"))
+    by_set = rows.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("k", "doc_id").alias("copies"))
+    low = named.select("s1", "s2", F.explode("low").alias("h")).groupBy("h")
+    alone = low.agg(*(f(c).alias(f"{m}{c}") for c in ("s1", "s2") for f, m in ((F.min, "a"), (F.max, "b")))).where("as1 = bs1 and as2 = bs2")
+    alone = alone.groupBy(F.col("as1").alias("s1"), F.col("as2").alias("s2")).agg(F.count("*").alias("alone"))
+    kept = by_set.join(alone, ["s1", "s2"], "left").where(F.coalesce("alone", F.lit(0)) <= _spare(F.col("n"), percent))
+    return kept.select("s1", "s2", "n", "rep", "copies")
+
 
+def numbered(sets: DataFrame, percent: int) -> DataFrame:
+    """The survivors with `sid`, a number of their own, so what follows need not carry digests."""
+    return materialise(survivors(sets, percent).withColumn("sid", F.monotonically_increasing_id()), "join-chosen")
 
-def _whole_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+
+def _whole_sets(docs: DataFrame, chosen: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """sid and hash of every n-gram of the chosen sets, from their representatives' texts; sets that only
-    rows without doc_id have are found by their sid."""
-    texts = docs.select("doc_id", "text").join(chosen.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    rows without doc_id have are found by their digest. Rows that repeat a set give it once. Second, the
+    table that this reads, to be discarded with it."""
+    names = chosen.select(F.col("rep").alias("doc_id"), "s1", "s2", "sid", (F.col("copies") > 1).alias("again"))
+    texts = docs.select("doc_id", "text").join(names.where("doc_id is not null").hint("merge"), "doc_id")
 
     def run(batches):
-        for batch in batches:
-            for s in shingle_sets(batch.column(1).to_pylist(), size):
+        for batch, texts in _texts(batches, "text"):
+            rows = zip(shingle_sets(texts, size), *(batch.column(c).to_pylist() for c in ("s1", "s2", "sid", "again")))
+            found = [(s, sid, again) for s, s1, s2, sid, again in rows if _set_id(s) == (s1, s2)]
+            if found:
+                sizes = [len(s) for s, _, _ in found]
+                columns = [np.repeat([f[1] for f in found], sizes), np.repeat([f[2] for f in found], sizes), np.concatenate([f[0] for f in found]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sid", "again", "h"])
+
+    def all_of(batches):
+        for _, texts in _texts(batches, "text"):
+            for s in shingle_sets(texts, size):
                 if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), _set_id(s)), pa.int64()), pa.array(s.astype(np.int64))], names=["sid", "h"])
+                    s1, s2 = _set_id(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), x), pa.int64()) for x in (s1, s2)] + [pa.array(s.astype(np.int64))], names=["s1", "s2", "h"])
 
-    grams = texts.mapInArrow(run, "sid long, h long")
-    nameless = chosen.where("rep is null").select("sid")
-    if nameless.isEmpty():
-        return grams
-    return grams.unionByName(docs.where("doc_id is null").select("doc_id", "text").mapInArrow(run, "sid long, h long").join(nameless, "sid", "left_semi").distinct())
+    grams = materialise(texts.select("s1", "s2", "sid", "again", "text").mapInArrow(run, "sid long, again boolean, h long"), "join-grams")
+    whole = grams.where("not again").select("sid", "h")
+    if not chosen.where("copies > 1 and rep is not null").isEmpty():
+        whole = whole.unionByName(grams.where("again").select("sid", "h").distinct())
+    nameless = chosen.where("rep is null").select("s1", "s2", "sid")
+    if not nameless.isEmpty():
+        whole = whole.unionByName(docs.where("doc_id is null").select("text").mapInArrow(all_of, "s1 long, s2 long, h long").join(nameless, ["s1", "s2"]).select("sid", "h").distinct())
+    return whole, grams
 
 
 def _with_counts(grams: DataFrame) -> DataFrame:
@@ -133,12 +162,12 @@ def _segments(packed: DataFrame, percent: int) -> DataFrame:
     also rare, the set's prefix: its rarest n-grams that others have. Sets that cannot link are left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, rows=64)):
             rows = []
             for sid, hs, dfs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                # rows that repeat a representative's doc_id give its n-grams again
-                h, first = np.unique(hs.values.to_numpy().astype(np.uint64), return_index=True)
-                df = dfs.values.to_numpy()[first]
+                h = hs.values.to_numpy().astype(np.uint64)
+                order = np.argsort(h)
+                h, df = h[order], dfs.values.to_numpy()[order]
                 n, alone = len(h), int((df == 1).sum())
                 spare = n * (100 - percent) // 100
                 if alone > spare:
@@ -155,11 +184,11 @@ def _segments(packed: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(segments: DataFrame, percent: int) -> DataFrame:
-    """band, lead, sid, n, lead_n: the members of each leader's groups.
+    """lead, sid, n, lead_n: the members of each leader's group, those of all its bands and n-grams together.
 
     A band holds lengths within the square of the ratio at which sets can still link, and bands
     overlap by half, so every linked pair shares a band. In it, sets that share a rare n-gram follow
-    the one with the fewest n-grams of its own."""
+    the one with the fewest n-grams of its own, so both have the same leader."""
     ratio = float(np.log(100 / percent))
     band = F.floor(F.log(F.col("n").cast("double")) / ratio)
     rare = (
@@ -171,7 +200,7 @@ def _groups(segments: DataFrame, percent: int) -> DataFrame:
         rare.groupBy("band", "h").agg(F.min(F.struct("own", "sid", "n")).alias("l"), F.count("*").alias("k")).where("k > 1")
         .select("band", "h", F.col("l.sid").alias("lead"), F.col("l.n").alias("lead_n"))
     )
-    return rare.join(leads, ["band", "h"]).where("sid <> lead").select("band", "lead", "sid", "n", "lead_n").distinct()
+    return rare.join(leads, ["band", "h"]).where("sid <> lead").select("lead", "sid", "n", "lead_n").distinct()
 
 
 def _partials(pairs: DataFrame, segments: DataFrame, left: str, right: str, keep: float = 0) -> DataFrame:
@@ -187,7 +216,7 @@ def _partials(pairs: DataFrame, segments: DataFrame, left: str, right: str, keep
     kept = len(pairs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "seg_b_hs", rows=256)):
             common, items, bits = [], [], []
             for row in zip(*(batch.column(i).to_pylist() for i in range(kept + 1, len(names)))):
                 n, ah, ad, bh, bd = row
@@ -222,7 +251,7 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
     groups = materialise(_groups(segments, percent), "join-groups")
     compared = (
         _partials(groups, segments, "lead", "sid", keep=reach)
-        .groupBy("band", "lead", "sid", "n", "lead_n")
+        .groupBy("lead", "sid", "n", "lead_n")
         .agg(
             F.sum("common").alias("common"),
             F.sort_array(F.flatten(F.collect_list("items"))).alias("items"),
@@ -235,15 +264,16 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
     )
     compared = materialise(compared, "join-compared")
     # the member of most slack stands for all that link with it for certain; the leader deviates by nothing
-    best = compared.groupBy("band", "lead").agg(F.max_by(F.struct("sid", "slack"), F.struct("slack", "sid")).alias("b"), F.max("lead_n").alias("m"))
-    best = best.select("band", "lead", F.when(F.col("b.slack") > over * F.col("m"), F.col("b")).otherwise(F.struct(F.col("lead").alias("sid"), (over * F.col("m")).alias("slack"))).alias("b"))
-    member = compared.join(best, ["band", "lead"]).withColumn("certain", F.col("slack") + F.col("b.slack") >= 0)
+    best = compared.groupBy("lead").agg(F.max_by(F.struct("sid", "slack"), F.struct("slack", "sid")).alias("b"), F.max("lead_n").alias("m"))
+    best = best.select("lead", F.when(F.col("b.slack") > over * F.col("m"), F.col("b")).otherwise(F.struct(F.col("lead").alias("sid"), (over * F.col("m")).alias("slack"))).alias("b"))
+    # written down, so that what follows is dealt by its own keys and not by the leader alone, which may have any share of the rows
+    member = materialise(compared.join(best, "lead").withColumn("certain", F.col("slack") + F.col("b.slack") >= 0), "join-members")
     sure = member.where("certain").select(F.col("sid").alias("u"), F.col("b.sid").alias("v"))
     led = member.where(under * F.col("dev") <= over * (F.col("n") + F.col("lead_n"))).select(F.col("sid").alias("u"), F.col("lead").alias("v"))
     anchored = best.select(F.col("lead").alias("u"), F.col("b.sid").alias("v"), (F.col("b.slack") + 0).alias("s")).where("s >= 0").select("u", "v")
     bits = [f"bits{f}" for f in range(FRAGMENTS)]
-    member = member.select("band", "lead", "sid", "n", "dev", "most", "certain", "items", *bits)
-    shape = ["band", "lead", F.col("item.h").alias("h")]
+    member = member.select("lead", "sid", "n", "dev", "most", "certain", "items", *bits)
+    shape = ["lead", F.col("item.h").alias("h")]
     index = member.select("*", F.posexplode(F.expr("slice(items, 1, cast(floor(most / 2) + 1 as int))")).alias("at", "item")).select(
         *shape, *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "dev", "certain", "at", *bits))
     )
@@ -258,7 +288,7 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
         & (under * (F.col("x_dev") + F.col("y_dev") - 2 * shared) <= over * (F.col("x_n") + F.col("y_n")))
         & (under * differ <= over * (F.col("x_n") + F.col("y_n")))
     )
-    keys = ["band", "lead", "h"]
+    keys = ["lead", "h"]
     meet = lambda p, i: p.join(i, keys).where(like).select(F.col("x_sid").alias("x"), F.col("y_sid").alias("y"), "x_n", "y_n")
     # two that are certain are in one component already
     pairs = meet(probe.where("not x_certain"), index).unionByName(meet(probe.where("x_certain"), index.where("not y_certain"))).distinct()
@@ -268,38 +298,34 @@ def links(segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups_of_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, sid of every row; and set, component_id, first (it has the component's least node) of every set."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """doc_id, n, s1, s2 of every row; and s1, s2, component_id, first (it has the component's least node) of every set."""
     with_low = materialise(document_sets(docs, size), "join-low")
-    chosen = materialise(survivors(with_low, percent), "join-chosen")
-    sets = materialise(with_low.select("doc_id", "n", "sid"), "join-sets")
+    chosen = numbered(with_low, percent)
+    sets = materialise(with_low.select("doc_id", "n", "s1", "s2"), "join-sets")
     discard(with_low)
-    _release(spark)
-    grams = materialise(_whole_sets(docs, chosen, size), "join-grams")
-    _release(spark)
+    grams, written = _whole_sets(docs, chosen, size)
     segments = materialise(_segments(_with_counts(grams), percent), "join-segments")
-    discard(grams)
-    _release(spark)
+    discard(written)
     edges = materialise(links(segments, percent), "join-links")
+    discard(segments)
     node, number = F.col("rep"), F.col("component")
     if not chosen.where("rep is null").isEmpty():
         # sets without a doc_id are nodes of their own, after all that have one
-        node = F.struct(F.col("rep").isNull().alias("none"), "rep", F.when(F.col("rep").isNull(), F.col("sid")).alias("sid"))
+        node = F.struct(F.col("rep").isNull().alias("none"), "rep", *(F.when(F.col("rep").isNull(), F.col(c)).alias(c) for c in ("s1", "s2")))
         number = F.col("component.rep")
     name = chosen.select("sid", node.alias("node"))
     named = edges.join(name.select(F.col("sid").alias("u"), F.col("node").alias("ru")), "u").join(name.select(F.col("sid").alias("v"), F.col("node").alias("rv")), "v")
     found = connected_components(named.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")).withColumn("own", node)
+    by_set = sets.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("own", node)
     of_set = by_set.join(found, by_set["own"] == found["node"], "left").select(
-        F.col("sid").alias("set"), F.coalesce(number, "rep").alias("component_id"), F.coalesce(F.col("own") == F.col("component"), F.lit(True)).alias("first")
+        "s1", "s2", F.coalesce(number, "rep").alias("component_id"), F.coalesce(F.col("own") == F.col("component"), F.lit(True)).alias("first")
     )
     return sets, of_set
 
 
 def _components_of_rows(sets: DataFrame, of_set: DataFrame) -> DataFrame:
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set.select("set", "component_id"), F.col("sid") == F.col("set"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return sets.join(of_set.select("s1", "s2", "component_id"), ["s1", "s2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -308,16 +334,15 @@ def join_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     return _components_of_rows(*_groups_of_sets(docs, size, percent))
 
 
-def _with_sid(docs: DataFrame, size: int) -> DataFrame:
-    """`docs` with __join_sid, as `document_sets` has it."""
+def _with_digest(docs: DataFrame, size: int) -> DataFrame:
+    """`docs` with __join_s1 and __join_s2, as `document_sets` has them."""
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")).to_pylist(), size)
-            sids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sids], names=[*batch.schema.names, "__join_sid"])
+        for batch, texts in _texts(batches, "text"):
+            ids = [_set_id(s) for s in shingle_sets(texts, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1))], names=[*batch.schema.names, *_DIGEST])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__join_sid", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in _DIGEST)]))
 
 
 def keep_representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -328,11 +353,33 @@ def keep_representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCE
     kept = docs.join(keep, F.col("doc_id") == F.col("__join_kept"), "left_semi")
     if sets.where("doc_id is null").isEmpty():
         return kept
-    rest = _with_sid(docs.where("doc_id is null"), size)
-    firsts = of_set.where("component_id is null and first").select("set")
-    single = rest.join(firsts, F.col("__join_sid") == F.col("set"), "left_semi").dropDuplicates(["__join_sid"])
-    return kept.unionByName(rest.where("__join_sid is null").unionByName(single).drop("__join_sid"))
+    rest = _with_digest(docs.where("doc_id is null"), size)
+    firsts = of_set.where("component_id is null and first").select(*(F.col(c).alias(d) for c, d in zip(("s1", "s2"), _DIGEST)))
+    single = rest.join(firsts, _DIGEST, "left_semi").dropDuplicates(_DIGEST).select(*rest.columns)
+    return kept.unionByName(rest.where("__join_s1 is null").unionByName(single).drop(*_DIGEST))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(read(spark, sf_dir, "documents"))
+
+
+# All pairs that share a shingle, counted; then what each document reaches by links.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS ss FROM d
+), e AS (
+  SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM documents
+  UNION SELECT r.doc_id, p.v FROM r JOIN p ON r.reached = p.u
+)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
