@@ -1,14 +1,16 @@
 """Line dedup: explode normalised lines, hash them, count distinct documents a hash, drop
 lines over the threshold, reassemble by position.
 
-Only keys long enough to be judged are exploded, as 16-byte digests; the text of a
-document moves once, in the final reassembly, and not at all where the table of
-repeated keys is small enough for a broadcast that Spark checks by size itself.
+Only keys long enough to be judged are exploded, as 16-byte digests with their positions; what is joined
+back is the positions of a text's dropped lines. The text of a document moves once, in the final
+reassembly, and not at all where that table is small enough for a broadcast that Spark checks by size itself.
+Every step costs time in proportion to the lines, however many a text has.
 
 Defined cases: null or empty text is one empty line; a key held by several rows of one
 doc_id counts one document; the largest doc_id holding a key keeps all its lines with it
 (null doc_ids never win, and together count as no document); short keys are never
-dropped; extra columns are carried along, working columns start with `__line_`.
+dropped; a text of any length or number of lines is judged within its own row; extra columns
+are carried along, working columns start with `__line_`.
 """
 
 from __future__ import annotations
@@ -16,16 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, materialise, read
+from .common import SPACES, ascii_lower, let, materialise, read
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -38,11 +36,26 @@ def _digests(text: Column, min_chars: int) -> Column:
     )
 
 
+def _text_name(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def judged_lines(docs: DataFrame, named: bool = False, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, `__line_at` (0, 1, ...) and `__line_key` of every line that is long enough, and if `named` the text's
+    digest `__line_text`. The digest is made inside the generated array, else it would be made for every line."""
+    keys = _digests(F.col("text"), min_chars)
+    if not named:
+        rows = docs.select("doc_id", F.posexplode(keys).alias("__line_at", "__line_key"))
+        return rows.where("__line_key is not null")
+    both = let(_text_name(F.col("text")), lambda name: F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(name.alias("name"), k.alias("key")))))
+    rows = docs.select("doc_id", F.posexplode(both).alias("__line_at", "__line")).where("__line is not null")
+    return rows.select("doc_id", "__line_at", F.col("__line.key").alias("__line_key"), F.col("__line.name").alias("__line_text"))
+
+
 def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`__line_key`, `__line_keeper`: keys in at least `min_docs` documents, and the doc_id that keeps them."""
-    keys = docs.select("doc_id", F.explode(F.array_distinct(_digests(F.col("text"), min_chars))).alias("__line_key"))
     return (
-        keys.where("__line_key is not null")
+        judged_lines(docs, min_chars=min_chars)
         .groupBy("__line_key", "doc_id").agg(F.lit(1).alias("__line_one"))
         .groupBy("__line_key")
         .agg(F.count("doc_id").alias("__line_docs"), F.max("doc_id").alias("__line_keeper"))
@@ -54,33 +67,25 @@ def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` with `__line_kept` (text without the dropped lines), `__line_total` and `__line_dropped`."""
     repeated = materialise(repeated_keys(docs, min_chars, min_docs), "line-keys")
-    held = docs.select(
-        "doc_id", F.explode(F.array_distinct(_digests(F.col("text"), min_chars))).alias("__line_key")
-    ).where("__line_key is not null")
-    losing = (
-        held.join(repeated, "__line_key")
+    # rows of one doc_id with one text lose the same lines, so a row is known by both
+    lost = (
+        judged_lines(docs, named=True, min_chars=min_chars)
+        .join(repeated, "__line_key")
         .where(~F.col("doc_id").eqNullSafe(F.col("__line_keeper")))
-        .groupBy(F.col("doc_id").alias("__line_doc"))
-        .agg(F.collect_set("__line_key").alias("__line_lost"))
+        .groupBy(F.col("doc_id").alias("__line_doc"), "__line_text")
+        .agg(F.collect_set("__line_at").alias("__line_lost"))
     )
-    joined = docs.join(losing, F.col("doc_id").eqNullSafe(F.col("__line_doc")), "left")
-    lines = F.col("__line_all")
-    kept = F.when(F.col("__line_lost").isNull(), lines).otherwise(
-        F.transform(
-            F.filter(
-                F.arrays_zip(lines.alias("line"), _digests(F.col("text"), min_chars).alias("key")),
-                lambda x: x["key"].isNull() | ~F.array_contains(F.col("__line_lost"), x["key"]),
-            ),
-            lambda x: x["line"],
-        )
+    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__line_doc")) & (_text_name(F.col("text")) == F.col("__line_text")), "left")
+    # one struct a row: inside lambdas a plain column would be split anew for every line
+    left = lambda ls: F.when(F.col("__line_lost").isNull(), ls).otherwise(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__line_lost"), lambda i: F.get(ls, i))
     )
-    return (
-        joined.withColumn("__line_all", _lines(F.col("text")))
-        .withColumn("__line_left", kept)
-        .withColumn("__line_kept", F.array_join("__line_left", "\n"))
-        .withColumn("__line_total", F.size("__line_all").cast("long"))
-        .withColumn("__line_dropped", (F.size("__line_all") - F.size("__line_left")).cast("long"))
-        .drop("__line_doc", "__line_lost", "__line_all", "__line_left")
+    done = let(
+        _lines(F.col("text")),
+        lambda ls: let(left(ls), lambda kept: F.struct(F.array_join(kept, "\n").alias("kept"), F.size(ls).cast("long").alias("total"), (F.size(ls) - F.size(kept)).cast("long").alias("dropped"))),
+    )
+    return joined.withColumn("__line_done", done).select(
+        *docs.columns, *(F.col(f"__line_done.{c}").alias(f"__line_{c}") for c in ("kept", "total", "dropped"))
     )
 
 
