@@ -8,7 +8,8 @@ without an image library. Only 8-bit samples are read; what is not is an error.
 Defined cases: a null or empty media value has no pages; a broken file raises ValueError
 with what is wrong (or, with `on_error="null"`, gives one row with `tiff_error`); repeated
 rows give repeated pages; columns of the input are carried along, and columns of the result
-start with `tiff_`.
+start with `tiff_`. A text of any length becomes one file of pages of PAGE_ROWS rows; a task holds one file and the
+pixels of its pages.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small_batches
+from vectorloom.functions.batches import slices
+
+from .common import read
 
 # Tags and compressions of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -58,14 +61,17 @@ def unpack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def pack_bits(data: bytes) -> bytes:
-    """Runs of three and more are written as runs; what lies between as literals of up to 128 bytes."""
+def pack_bits(data: bytes, width: int | None = None) -> bytes:
+    """Runs of three and more are written as runs; what lies between as literals of up to 128 bytes. Each row of
+    `width` bytes is packed by itself, as the format wants it."""
     a = np.frombuffer(data, np.uint8)
     if not len(a):
         return b""
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1, [len(a)]))
+    width = width or len(a)
+    rows = np.arange(0, len(a) + 1, width)
+    edges = np.union1d(np.flatnonzero(np.diff(a)) + 1, rows)
     long = np.flatnonzero(np.diff(edges) >= 3)
-    out, at = [], 0
+    runs, out, at = iter([*zip(edges[long].tolist(), edges[long + 1].tolist()), (len(a), len(a))]), [], 0
 
     def literal(end: int) -> None:
         nonlocal at
@@ -74,13 +80,17 @@ def pack_bits(data: bytes) -> bytes:
             out.append(bytes((stop - at - 1,)) + data[at:stop])
             at = stop
 
-    for begin, end in zip(edges[long].tolist(), edges[long + 1].tolist()):
-        literal(begin)
-        while end - at >= 2:
-            k = min(128, end - at)
-            out.append(bytes((257 - k, data[at])))
-            at += k
-    literal(len(a))
+    begin, end = next(runs)
+    for stop in rows[1:].tolist():
+        while begin < stop:
+            literal(begin)
+            while end - at >= 2:
+                k = min(128, end - at)
+                out.append(bytes((257 - k, data[at])))
+                at += k
+            literal(end)
+            begin, end = next(runs)
+        literal(stop)
     return b"".join(out)
 
 
@@ -153,8 +163,9 @@ def _inflate(data: bytes) -> bytes:
         raise ValueError(f"TIFF: deflate: {e}") from e
 
 
+# Decoders by compression, and encoders of (bytes, row width).
 DECODE = {RAW: bytes, PACKBITS: unpack_bits, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
-ENCODE = {RAW: bytes, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda data: zlib.compress(data, 1)}
+ENCODE = {RAW: lambda data, _: data, PACKBITS: pack_bits, LZW: lambda data, _: lzw_encode(data), DEFLATE: lambda data, _: zlib.compress(data, 1)}
 
 
 # -- reading ----------------------------------------------------------------------------
@@ -253,7 +264,7 @@ def write_pages(pages: list[np.ndarray], method: int, predictor: int = 1, tile:
                     cell = np.pad(cell, ((0, cell_h - cell.shape[0]), (0, cell_w - cell.shape[1])))
                 if predictor == 2:
                     cell = np.diff(cell, axis=1, prepend=np.uint8(0))
-                packed = ENCODE[method](np.ascontiguousarray(cell).tobytes())
+                packed = ENCODE[method](np.ascontiguousarray(cell).tobytes(), cell.shape[1])
                 offsets.append(len(out))
                 counts.append(len(packed))
                 out += packed
@@ -299,11 +310,10 @@ def encode_payload(payload: bytes) -> bytes:
 
 def add_media(docs: DataFrame) -> DataFrame:
     """`docs` with `tiff_media`, each whole text stored as TIFF, and `tiff_n_bytes`."""
-    small_batches(docs.sparkSession)
     docs = docs.drop("tiff_media", "tiff_n_bytes")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = [padded(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([encode_payload(p) for _, p in texts], pa.binary()), pa.array([n for n, _ in texts], pa.int64())],
@@ -329,7 +339,6 @@ _PAGE_FIELDS = [
 def explode_pages(media: DataFrame, column: str = "tiff_media", on_error: str = "raise") -> DataFrame:
     """One row a page, without the media column. Rows of a file stay together and in order, and results
     are handed on at HELD_BYTES of pixels, so memory is bounded by the largest file."""
-    small_batches(media.sparkSession)
     kept = [f for f in media.schema.fields if f.name != column and f.name not in {p.name for p in _PAGE_FIELDS}]
     schema = T.StructType([*kept, *_PAGE_FIELDS])
 
@@ -343,7 +352,7 @@ def explode_pages(media: DataFrame, column: str = "tiff_media", on_error: str =
         return pa.RecordBatch.from_arrays([*base.columns, *arrays], schema=out)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, column)):
             files = batch.column(batch.schema.get_field_index(column)).to_pylist()
             picked, rows, held = [], [], 0
             for i, data in enumerate(files):
@@ -384,7 +393,7 @@ def file_digests(media: DataFrame) -> DataFrame:
 
     def run(batches):
         due = 0  # the page that comes next
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "tiff_pixels")):
             rows = []
             for doc, n, size, sha, page, of, pixels in zip(*(c.to_pylist() for c in batch.columns)):
                 if page != due:
