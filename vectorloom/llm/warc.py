@@ -14,7 +14,8 @@ revisits without payload, which name it. Payloads below `min_bytes` are never re
 Defined cases: null html is an empty payload; null url leaves the target out; a null page_id
 is never named by a revisit if its payload has another id, and is a response only where all
 its group's ids are null; repeated rows of the naming id are responses each; an empty table
-gives empty archives and no rows; other columns are ignored.
+gives empty archives and no rows; other columns are ignored. A page of any length is one record; a task holds one record
+and the archive it writes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, small_batches
+from vectorloom.functions.batches import slices
+
+from .common import materialise, read
 
 ARCHIVE_BYTES = 4_000_000  # of records, before compression
 MIN_BYTES = 0
@@ -153,8 +156,6 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Archives of one gzip stream each: archive, data. A task packs its own rows."""
-    small_batches(records.sparkSession)
-
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         packer, packed, size = None, [], 0
@@ -166,7 +167,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
             packer, packed, size, number = None, [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["archive", "data"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "html")):
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 page_id, url, html, revisit, refers_to = row
                 raw = record(page_id, url, html.encode(), refers_to, revisit)
@@ -184,10 +185,9 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 def normalise_archives(archives: DataFrame) -> DataFrame:
     """archive, data (a member a record) and the side index of its records."""
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("record_id", pa.string())]))
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "data")):
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 target = io.BytesIO()
                 index = normalise(io.BytesIO(data), target)
@@ -201,13 +201,16 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     )
 
 
-def read_archives(normalised: DataFrame) -> DataFrame:
-    """A row a record, each taken by its place in the index. Digest and size of a response come from
-    the payload as read, and must be the head's; those of a revisit from its heads."""
-    normalised.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+def read_archives(normalised: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """A row a record, each taken by its place in `index`, the side index as `write_normalised` writes it, or
+    without one in that beside the archives. Digest and size of a response come from the payload as
+    read, and must be the head's; those of a revisit from its heads. An archive without any entry gives no rows."""
+    if index is not None:
+        places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("index"))
+        normalised = normalised.select("archive", "data").join(places, "archive")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "data")):
             for data, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
                 for place in index:
@@ -236,8 +239,7 @@ def write_normalised(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[Data
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normalised, _ = write_normalised(read(spark, sf_dir, "pages"))
-    return read_archives(normalised)
+    return read_archives(*write_normalised(read(spark, sf_dir, "pages")))
 
 
 OP8_SQL = r"""
