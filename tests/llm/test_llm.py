@@ -147,6 +147,29 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_documents(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
 
 
+def test_line_dedup_cost_grows_with_the_lines(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(f"a line that is long enough to be judged, number {i}" for i in range(n))
+        docs = docs_of(spark, [(i, text, "s") for i in range(6)]).cache()
+        docs.count()
+        began = time.perf_counter()
+        got = line_dedup.dedup_lines(docs).agg(F.sum("__line_dropped")).first()[0]
+        assert got == 5 * n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(20_000) < 6 * max(0.5, min(took(5_000) for _ in range(2)))
+
+
+def test_rows_of_one_doc_id_lose_their_own_lines(spark):
+    line = "one line that five documents have, long enough"
+    rows = [(1, f"first\n{line}", "s"), (1, f"{line}\nfirst\n{line}", "s"), (1, "nothing", "s"), (1, f"first\n{line}", "s"), (None, line, "s")] + [(i, line, "s") for i in range(2, 6)]
+    got = Counter((r["doc_id"], r["__line_kept"], r["__line_dropped"]) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect())
+    assert got == Counter({(1, "first", 1): 2, (1, "first", 2): 1, (1, "nothing", 0): 1, (None, "", 1): 1, (2, "", 1): 1, (3, "", 1): 1, (4, "", 1): 1, (5, line, 0): 1})
+
+
 # -- 3 ----------------------------------------------------------------------------------
 
 
@@ -238,6 +261,24 @@ def test_rows_without_doc_id_are_compared(spark):
     assert len(kept) == 6 and {0, 6, 7, 8, 9} < set(kept) and len(set(kept) & {3, 4, 5}) == 1
 
 
+def test_a_set_repeated_by_rows_of_one_doc_id_counts_once(spark):
+    base = prose(1, 150)
+    rows = [(1, base, "s")] * 40 + [(1, prose(2, 80), "s")] * 3 + [(2, near(1, base, 1), "s"), (3, near(5, prose(2, 80), 1), "s"), (4, prose(3, 90), "s"), (None, near(2, base, 1), "s")]
+    assert sorted(map(tuple, ngram_join.join_components(docs_of(spark, rows)).collect()), key=str) == brute_components(rows)
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    from vectorloom.llm.common import materialise
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return found.size()
+
+    before, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    table = materialise(spark.range(5000).repartition(7).groupBy((F.col("id") % 99).alias("k")).count(), "test-clean")
+    assert files() <= before and spark.conf.get(key) == "false" and table.count() == 99
+
+
 # -- 4 ----------------------------------------------------------------------------------
 
 URLS = [
@@ -349,6 +390,57 @@ def test_lzw_and_packbits_known_streams():
     assert tiff_media.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
+def packed_codes(codes):
+    """Codes of their widths, most significant bit first."""
+    bits = "".join(format(code, f"0{width}b") for code, width in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_lzw_streams_made_by_hand():
+    # the format's own example: clear, 7, (7 7), 8, 8, (7 7), 6, 6, end
+    stream = packed_codes((c, 9) for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    plain = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff_media.lzw_decode(stream) == plain and tiff_media.lzw_encode(plain) == stream
+    # codes of single bytes alone: code j after a clear puts entry 257 + j into the table, and codes
+    # are wider as soon as entries 511, 1023 and 2047 are there; entry 4094 calls for a clear
+    data = np.random.default_rng(1).integers(0, 256, 9000).astype(np.uint8).tobytes()
+    codes, entry, width = [(256, 9)], 257, 9
+    for i, byte in enumerate(data):
+        codes.append((byte, width))
+        entry += 1
+        width = 9 + (entry >= 511) + (entry >= 1023) + (entry >= 2047)
+        if entry == 4093:
+            codes.append((256, width))
+            entry, width = 257, 9
+    assert tiff_media.lzw_decode(packed_codes([*codes, (257, width)])) == data
+
+
+def test_packbits_rows_are_packed_by_themselves():
+    rows = np.repeat(np.array([[5], [5], [9]], np.uint8), 300, axis=1)
+    rows[1, 100:110] = np.arange(10)
+    packed, width = tiff_media.pack_bits(rows.tobytes(), 300), 300
+    assert packed == b"".join(tiff_media.pack_bits(r.tobytes()) for r in rows) and tiff_media.unpack_bits(packed) == rows.tobytes()
+    at = 0
+    for r in rows:  # a decoder that stops at each row's end finds the next row's beginning
+        got = b""
+        while len(got) < width:
+            n = packed[at] + 2 if packed[at] < 128 else 2
+            got, at = got + tiff_media.unpack_bits(packed[at : at + n]), at + n
+        assert got == r.tobytes()
+
+
+def test_digest_columns_against_the_stored_bytes(spark):
+    docs = docs_of(spark, EDGES + [(50 + i, prose(i, 30 + 50 * i), "s") for i in range(16)])
+    media = tiff_media.add_media(docs)
+    stored = Counter()
+    for r in media.collect():
+        payload, data = tiff_media.padded(r["text"])[1], bytes(r["tiff_media"])
+        x = np.frombuffer(payload, np.uint8)
+        shares = [int(((x >= 64 * q) & (x < 64 * q + 64)).sum()) * 1000 // len(x) for q in range(4)]
+        stored[(r["doc_id"], len(data), hashlib.sha256(data).hexdigest(), ",".join([f"{x.mean():.3f}", f"{x.std():.3f}", *map(str, shares)]))] += 1
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in tiff_media.file_digests(media).collect()) == stored
+
+
 @pytest.mark.parametrize("method", [1, 5, 8, 32773])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (64, 64), (16, 48)])

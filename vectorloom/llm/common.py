@@ -1,13 +1,15 @@
-"""What the training-data operators share: words, scratch tables, batch sizes."""
+"""What the training-data operators share: words, scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.functions.folders import remove, shared_dir
+
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # The white space of the contracts, as a character list and as a regex class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -37,34 +39,24 @@ def ascii_lower(s: Column) -> Column:
     return F.when(F.length(s) == F.octet_length(s), F.lower(s)).otherwise(F.translate(s, upper, upper.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; set to a local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="vectorloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    remove(spark, path, at_exit=True)
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder once and read it back."""
+    """Cut the lineage: write `df` to the shared folder once and read it back. The shuffle files of the
+    write go when it ends, as nothing reads them again; the session's setting for that is put back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,8 +64,3 @@ def discard(table: DataFrame) -> None:
     """Remove a materialised table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         remove(table.sparkSession, path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be long, so Arrow batches for Python workers are bounded by rows here."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

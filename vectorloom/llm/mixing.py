@@ -3,7 +3,9 @@
 Every source gets a token target by weight, the targets become whole numbers of
 equal-token blocks by highest quotients, each source's blocks are apportioned over
 its shards in the same way, and a shard takes its quota by a seeded permutation of
-its own blocks. Nothing but per-source and per-shard counts ever meets in one task.
+its own blocks. Nothing but per-source and per-shard counts ever meets in one task: a row a source in
+one, and a row of six numbers a shard of one source, some 50 MB for a source of 10^9 documents.
+A text of any length is counted and cut within its own row.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; an empty table gives an empty result; repeated rows are rows of their own, each
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read, small_batches, words
+from .common import materialise, read, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -254,7 +256,6 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_TOKENS, **options) -> Data
     """The mix itself, with the columns of `docs`: a row for each whole copy that is taken and one
     for the chosen blocks of a partial pass (runs of neighbouring blocks keep their own white
     space and are joined by a line feed). A document whose blocks are not chosen gives no row."""
-    small_batches(docs.sparkSession)
     planned = plan_mix(docs, word_count(F.col("text")), block=block, **options)
     parts = _pieces(block)("text", *(f"__mix_{c}" for c in ("start", "size", "full", "blocks", "rest", "shift")))
     mixed = planned.withColumn("__mix_text", F.explode(parts))

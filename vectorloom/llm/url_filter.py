@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise, read, small_batches
+from .common import ascii_lower, discard, materialise, read
 
 RULES = (
     ("com/en/", "block"),
@@ -261,7 +261,6 @@ def _tally(runs: list[tuple[str, str]]) -> dict[str, list[int]]:
 
 def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
     """`pages` with url_host, url_path, url_rule, url_score (log odds of block; null where a rule decides) and url_verdict."""
-    small_batches(pages.sparkSession, 4096)
     placed = with_rules(pages.drop(text), rules)
     key = F.md5(F.concat("url_host", F.lit("\0"), "url_path"))
     urls = placed.groupBy("url_host", "url_path", "url_decided").agg(F.count("*").alias("k")).withColumn("url_key", key)
