@@ -4,28 +4,33 @@ A document is a bag of passages of PASSAGE_BYTES bytes, all of its text. Each pa
 encoded by a learnt layer over its byte classes and hashed byte pairs; gated attention,
 learnt from document labels alone, weighs the passages; the weighted sum is scored.
 
-Fitting takes a bounded sample: at most SAMPLE labelled documents, those of least hash,
-and of each at most SAMPLE_PASSAGES passages, evenly spaced. Scoring takes every passage
-of every document. Rows with crc32(doc_id) mod 3 = 1 never enter fitting.
+Fitting takes a bounded sample of labelled documents, each whole: in the order of their hash at most
+SAMPLE, and as many as have SAMPLE_PASSAGES passages together, the first one in any case. Their counts,
+82 numbers of two bytes a passage, are what the driver holds (33 MB at most, and the first document). Scoring takes
+every passage of every document. Rows with crc32(doc_id) mod 3 = 1 never enter fitting.
 
-Defined cases: null or empty text is one empty passage and gets a score; a null doc_id is not
+Defined cases: a text of any length is cut into passages within its own row; null or empty text is one empty passage and gets a score; a null doc_id is not
 held out; null labels are ignored; without any label, or with one class only, every score is
-the share of good labels with one good and one bad added; repeated rows score alike; an
-empty table gives no rows; other columns are carried along.
+the share of good labels with one good and one bad added; repeated rows score alike, and of the
+rows that repeat a sampled doc_id one enters fitting; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from vectorloom.functions.batches import slices
+
+from .common import discard, materialise, read
 
 PASSAGE_BYTES = 512
 SAMPLE = 4000
-SAMPLE_PASSAGES = 256
+SAMPLE_PASSAGES = 200_000
 PAIRS = 64
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 64, 0.01, 1e-4, 7
@@ -105,7 +110,7 @@ def _gradients(p: dict, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dic
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Adam over shuffled batches of bags, the same at every run."""
+    """Adam over shuffled batches of bags of passage counts, the same at every run."""
     rng = np.random.default_rng(SEED)
     p = _start(rng)
     if len(set(labels.tolist())) < 2:
@@ -117,7 +122,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             sizes = [len(bags[i]) for i in some]
-            grad = _gradients(p, np.vstack([bags[i] for i in some]), np.cumsum([0, *sizes[:-1]]), labels[some])
+            grad = _gradients(p, features(np.vstack([bags[i] for i in some])), np.cumsum([0, *sizes[:-1]]), labels[some])
             step += 1
             for k in p:
                 grad[k] = grad[k] + DECAY * p[k]
@@ -134,28 +139,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The sample is taken from the labels, so the join is with at most `sample` rows."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> dict[str, np.ndarray]:
+    """The sample is taken from the labels, so the join is with at most `sample` rows; which of their documents
+    `passages` has room for is known when they are counted."""
+    order = F.xxhash64("mil_doc")
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").alias("mil_doc"), F.col(label).cast("int").alias("mil_label"))
-        .orderBy(F.xxhash64("mil_doc"), "mil_doc", "mil_label")
+        .orderBy(order, "mil_doc", "mil_label")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("mil_doc")).select("mil_doc", "mil_label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("mil_doc")).select(order.alias("at"), "mil_doc", "mil_label", "text")
 
     def run(batches):
-        for batch in batches:
-            counts = []
-            for text in batch.column(2).to_pylist():
-                c = passage_counts(text)
-                if len(c) > SAMPLE_PASSAGES:
-                    c = c[np.linspace(0, len(c) - 1, SAMPLE_PASSAGES).astype(int)]
-                counts.append(c.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(counts, pa.binary())], names=["doc", "label", "counts"])
-
-    found = sorted(rows.mapInArrow(run, "doc string, label int, counts binary").collect())
-    bags = [features(np.frombuffer(r["counts"], np.uint16).reshape(-1, WIDTH)) for r in found]
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            counts = [passage_counts(t).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()]
+            sizes = [len(c) // (2 * WIDTH) for c in counts]
+            digests = [hashlib.md5(c).hexdigest() for c in counts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1).cast(pa.string()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(counts, pa.binary())],
+                names=["at", "doc", "label", "size", "digest", "counts"],
+            )
+
+    counted = materialise(rows.mapInArrow(run, "at long, doc string, label int, size long, digest string, counts binary"), "mil-bags")
+    known = counted.groupBy("at", "doc", "label").agg(F.min(F.struct("digest", "size")).alias("d")).select("at", "doc", "label", "d.digest", "d.size").collect()
+    chosen, room = [], passages
+    for r in sorted(known):
+        room -= r["size"]
+        if room < 0 and chosen:
+            break
+        chosen.append((r["doc"], r["label"], r["digest"]))
+    names = docs.sparkSession.createDataFrame(chosen, "doc string, label int, digest string")
+    found = counted.join(F.broadcast(names), ["doc", "label", "digest"], "left_semi").dropDuplicates(["doc", "label"]).select("at", "doc", "label", "counts")
+    found = sorted(found.collect()) if chosen else []
+    discard(counted)
+    bags = [np.frombuffer(r["counts"], np.uint16).reshape(-1, WIDTH) for r in found]
     return fit(bags, np.array([r["label"] for r in found], float))
 
 
@@ -165,10 +183,10 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     doc = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", rows=256)):
             counts = [passage_counts(t) for t in batch.column(1).to_pylist()]
             sizes = [len(c) for c in counts]
-            y = forward(shared.value, features(np.vstack(counts)), np.cumsum([0, *sizes[:-1]]))["y"] if counts else np.zeros(0)
+            y = forward(shared.value, features(np.vstack(counts)), np.cumsum([0, *sizes[:-1]]))["y"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y, pa.float64()), pa.array(sizes, pa.int32())], names=["doc_id", "score", "n_passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc}, score double, n_passages int")
