@@ -6,7 +6,7 @@ shuffled and a document of any length costs time in proportion to it (n log n wh
 windows repeat).
 
 Defined cases: null or blank text has no words and fails the base rules; lines of white
-space only are neither judged nor counted; repeated rows are judged alike; other columns
+space only are neither judged nor counted, and stay where they are; repeated rows are judged alike; other columns
 are carried along, the verdict stands in one struct column `__rules`.
 """
 
@@ -92,18 +92,29 @@ def rules(text: Column) -> Column:
     )
 
     def by_line(ls: Column) -> Column:
-        inked = F.filter(ls, lambda x: strip(x) != "")
+        return let(
+            F.transform(ls, lambda x: F.struct(x.alias("line"), strip(x).alias("ink"))),
+            lambda ls: let(
+                F.transform(ls, lambda x: F.struct(x["line"].alias("line"), (x["ink"] != "").alias("inked"), ((x["ink"] != "") & good_line(x["ink"])).alias("good"))),
+                summed,
+            ),
+        )
+
+    def summed(marked: Column) -> Column:
+        line = lambda x: x["line"]
+        inked = F.transform(F.filter(marked, lambda x: x["inked"]), line)
+        good = F.transform(F.filter(marked, lambda x: x["good"]), line)
         return let(
             inked,
             lambda it: let(
-                F.filter(it, lambda x: good_line(strip(x))),
+                good,
                 lambda good: F.struct(
                     (F.size(it) - F.size(F.array_distinct(it))).cast("long").alias("n_dup_lines"),
                     F.size(it).cast("long").alias("n_lines"),
                     F.size(good).cast("long").alias("n_good_lines"),
                     F.length(F.array_join(it, "")).cast("long").alias("line_chars"),
                     F.length(F.array_join(good, "")).cast("long").alias("good_chars"),
-                    F.array_join(good, "\n").alias("text"),
+                    F.array_join(F.transform(F.filter(marked, lambda x: ~x["inked"] | x["good"]), line), "\n").alias("text"),
                 ),
             ),
         )
