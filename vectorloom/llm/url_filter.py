@@ -7,10 +7,14 @@ all URLs that a rule decides. Neither a dictionary nor the URLs come to the driv
 letters in the URLs is joined with the counts of all words that it contains, split once, and joined with
 the URLs that have it. Only 2 x BUCKETS token counts, summed before, are gathered and broadcast.
 
-Defined cases: a null url, or one without `://`, has empty host and path and no words, and
-has score 0, as the model's prior is even; without any URL that a rule decides the verdict is allow; repeated
-rows are judged alike; an empty table gives no rows; other columns are carried along,
-columns of the result start with `url_`.
+The prior of a class is its smoothed share of the decided URLs if `class_prior` is set, as the query sets it, and
+else even.
+
+Defined cases: a null url, or one without `://`, has empty host and path and no words, so its score is
+the prior; without any URL that a rule decides all scores are 0 and the verdict is allow; repeated
+rows are judged alike; an empty table gives no rows. A URL of any length is judged whole: a run of n letters has
+up to MAX_WORD * n words to look up, and they are packed by run. Columns of the result start with `url_` and
+replace such columns of the input; the column of texts is left out, all others are carried along.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectorloom.functions.batches import slices
+
 from .common import ascii_lower, discard, materialise, read
 
 RULES = (
@@ -39,7 +45,6 @@ BUCKETS = 1 << 16
 MAX_WORD = 20
 _REMEMBERED = 50_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_LETTERS = re.compile(r"[a-z]+")
 
 
 # -- rules ------------------------------------------------------------------------------
@@ -74,9 +79,9 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def word_counts(pages: DataFrame, column: str = "html") -> DataFrame:
-    """w, n: how often each word is in all texts, without markup."""
+    """w, n: how often each word (letters of any script, at most MAX_WORD) is in all texts, without markup."""
     text = F.regexp_replace(F.lower(F.col(column)), r"<[^>]*>", " ")
-    word = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.col("w").rlike(rf"^[a-z]{{1,{MAX_WORD}}}$"))
+    word = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, MAX_WORD))
     return word.groupBy("w").agg(F.count("*").alias("n"))
 
 
@@ -142,7 +147,7 @@ def run_counts(urls: DataFrame) -> DataFrame:
     names = ["h0", "h1", "p0", "p1"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "url_path", rows=8192)):
             counts: dict[str, list[int]] = {}
             for host, path, kind, k in zip(*(c.to_pylist() for c in batch.columns)):
                 for mark, r in runs_of(host, path):
@@ -161,10 +166,10 @@ def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 0
 
     def substrings(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "run")):
             keys, inside = [], []
             for key, run in zip(*(c.to_pylist() for c in batch.columns)):
-                found = {part[i:j] for part in _LETTERS.findall(run) for i in range(len(part)) for j in range(i + 1, min(len(part), i + MAX_WORD) + 1)}
+                found = {run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + MAX_WORD) + 1)}
                 keys += [key] * len(found)
                 inside += found
                 if len(inside) > 50_000:
@@ -173,7 +178,7 @@ def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(inside, pa.string())], names=["key", "w"])
 
     def split(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "run")):
             runs, known, ns_of = (batch.column(c).to_pylist() for c in ("run", "ws", "ns"))
             words = [
                 [r] if r[0] == "#" else Segmenter(dict(zip(ws or (), ns or ())), total).split(r)
@@ -213,9 +218,9 @@ def token_counts(split: DataFrame) -> DataFrame:
     return split.mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def bayes_weights(counts: list[tuple[int, int, int]]) -> tuple[float, np.ndarray] | None:
+def bayes_weights(counts: list[tuple[int, int, int]], class_prior: bool = False) -> tuple[float, np.ndarray] | None:
     """Prior and weight of each bucket as log odds of block, with one added to each count; None without URLs.
-    The prior is even: what share of the decided URLs the rules block says nothing about the others."""
+    The prior is that of the decided URLs' classes, or even."""
     rows, tokens = [0, 0], np.zeros((2, BUCKETS))
     for label, where, n in counts:
         if where < 0:
@@ -225,7 +230,7 @@ def bayes_weights(counts: list[tuple[int, int, int]]) -> tuple[float, np.ndarray
     if not sum(rows):
         return None
     logs = np.log(tokens + 1) - np.log(tokens.sum(axis=1, keepdims=True) + BUCKETS)
-    return 0.0, logs[1] - logs[0]
+    return math.log((rows[1] + 1) / (rows[0] + 1)) if class_prior else 0.0, logs[1] - logs[0]
 
 
 def url_scores(urls: DataFrame, split: DataFrame, weights: tuple[float, np.ndarray]) -> DataFrame:
@@ -235,13 +240,13 @@ def url_scores(urls: DataFrame, split: DataFrame, weights: tuple[float, np.ndarr
 
     def weigh(batches):
         _, weight = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "run", rows=8192)):
             words = batch.column("words").to_pylist()
             host, path = ([float(sum(weight[bucket(mark + w)] for w in ws)) for ws in words] for mark in ("h:", "p:"))
             yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(host, pa.float64()), pa.array(path, pa.float64())], names=["run", "host", "path"])
 
     def runs(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "url_path", rows=8192)):
             rows = [(key, run, n[0], n[1]) for key, h, p in zip(*(c.to_pylist() for c in batch.columns)) for run, n in _tally(runs_of(h, p)).items()]
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["url_key", "run", "nh", "np"])
@@ -259,8 +264,9 @@ def _tally(runs: list[tuple[str, str]]) -> dict[str, list[int]]:
     return found
 
 
-def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, text: str = "html", class_prior: bool = False) -> DataFrame:
     """`pages` with url_host, url_path, url_rule, url_score (log odds of block; null where a rule decides) and url_verdict."""
+    pages = pages.drop("url_host", "url_path", "url_rule", "url_decided", "url_score", "url_verdict")
     placed = with_rules(pages.drop(text), rules)
     key = F.md5(F.concat("url_host", F.lit("\0"), "url_path"))
     urls = placed.groupBy("url_host", "url_path", "url_decided").agg(F.count("*").alias("k")).withColumn("url_key", key)
@@ -274,7 +280,7 @@ def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
         split = materialise(split_runs(runs, counts), "url-split")
         discard(runs)
         discard(counts)
-        weights = bayes_weights(decided + [(r["label"], r["bucket"], r["n"]) for r in token_counts(split).collect()])
+        weights = bayes_weights(decided + [(r["label"], r["bucket"], r["n"]) for r in token_counts(split).collect()], class_prior)
         scores = url_scores(urls, split, weights).withColumnRenamed("url_key", "__url_key")
         scored = scored.join(scores, key == F.col("__url_key"), "left").drop("__url_key")
         scored = scored.withColumn("url_score", F.coalesce("url_score", F.lit(float(weights[0]))))
@@ -288,7 +294,7 @@ def judge_urls(pages: DataFrame, rules=RULES, text: str = "html") -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    judged = judge_urls(read(spark, sf_dir, "pages").select("page_id", "url", "html"), class_prior=True)
     return judged.select(
         "page_id",
         F.col("url_host").alias("host"),
