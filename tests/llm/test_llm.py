@@ -325,6 +325,24 @@ def test_url_rules_and_scores(spark):
             assert r["url_score"] is None and r["url_verdict"] == dict(url_filter.RULES)[r["url_rule"]]
 
 
+def test_class_prior_letters_and_clashing_columns(spark):
+    pages = spark.createDataFrame(
+        [(i, u, "<p>Größe élan größe</p>", f"h{i}", 5.0, "v") for i, u in [*URLS, (20, "http://größeélan.example/élangröße/"), (21, "http://größe.x.com/en/élan")]],
+        "page_id long, url string, html string, url_host string, url_score double, other string",
+    )
+    even, own = (url_filter.judge_urls(pages, class_prior=p) for p in (False, True))
+    assert even.columns == ["page_id", "url", "other", "url_host", "url_path", "url_rule", "url_score", "url_verdict"]
+    counts = url_filter.unigram_counts(pages)
+    assert counts == {"größe": 36, "élan": 18} and url_filter.Segmenter(counts).split("größeélan") == ["größe", "élan"]
+    kinds = Counter(best[1] for _, _, best in (brute_url(r["url"]) for r in pages.collect()) if best)
+    prior = np.log((kinds["block"] + 1) / (kinds["allow"] + 1))
+    key = lambda r: (str(r["page_id"]), str(r["url"]))
+    for a, b in zip(sorted(even.collect(), key=key), sorted(own.collect(), key=key)):
+        assert key(a) == key(b) and a["url_host"] == brute_url(a["url"])[0]
+        if a["url_rule"] is None:
+            assert b["url_score"] == pytest.approx(a["url_score"] + prior) and b["url_verdict"] == ("block" if b["url_score"] > 0 else "allow")
+
+
 def test_url_filter_without_rows_or_rules(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filter.judge_urls(empty).count() == 0
@@ -603,6 +621,16 @@ def test_quality_rules(spark):
     assert quality_rules.clean_documents(docs_of(spark, [])).count() == 0
 
 
+def test_kept_texts_keep_their_blank_lines(spark):
+    lines = [prose(i, 14) + "." for i in range(4)]
+    text = f"{lines[0]}\n\n{lines[1]}\nMenu | Home | Shop | Login\n \n{lines[2]}\n{lines[3]}\n"
+    bare = " ".join("a b c d e f g h".split()) + " " + prose(9, 60)  # no line of it ends as a sentence does
+    docs = docs_of(spark, [(1, text, "s"), (2, bare, "s"), (3, bare + ".", "s")])
+    got = {r["doc_id"]: r for r in quality_rules.clean_documents(docs).collect()}
+    assert set(got) == {1, 3} and got[3]["text"] == bare + "."
+    assert got[1]["text"] == f"{lines[0]}\n\n{lines[1]}\n \n{lines[2]}\n{lines[3]}\n" and got[1]["n_chars"] == len(got[1]["text"])
+
+
 # -- 8 ----------------------------------------------------------------------------------
 
 
@@ -675,6 +703,34 @@ def test_chat_format(spark):
     assert chat_format.read_windows(chat_format.format_windows(turns.limit(0))).count() == 0
 
 
+def test_windows_of_a_long_conversation(spark):
+    # turn numbers over many blocks, with gaps and ties, against windows that a loop over the turns makes
+    rng = np.random.default_rng(11)
+    numbers = np.sort(rng.integers(0, 6000, 1500))
+    rows = [(5, int(k), "system" if i == 0 else ("user", "assistant")[i % 2], " ".join(["w"] * int(rng.choice([0, 3, 20, 90, 300], p=[0.2, 0.3, 0.3, 0.15, 0.05]))) + f" {i}") for i, k in enumerate(numbers)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(chat_format.format_windows(turns, 400, 100).collect(), key=lambda r: r["window"])
+    said = sorted(rows, key=lambda r: (r[1], r[2], r[3]))
+    tokens = [len(r[3].split()) + 4 for r in said]
+    spans, before, short = [], 0, 0
+    for i, n in enumerate(tokens):
+        long = n > 200
+        kind = ("long", i) if long else ("short", sum(t > 200 for t in tokens[:i]), short // 200)
+        if not spans or spans[-1][0] != kind:
+            spans.append((kind, before, []))
+        spans[-1][2].append(i)
+        before, short = before + n, short + (0 if long else n)
+    at = np.concatenate([[0], np.cumsum(tokens)])
+    assert len(got) == len(spans) and [r["window"] for r in got] == list(range(len(spans)))
+    for r, (_, opens, new) in zip(got, spans):
+        first_system = said[0][2] == "system"
+        again = [i for i in range(new[0]) if opens - 100 <= at[i] < opens and not (i == 0 and first_system)]
+        again = ([0] if first_system and 0 not in new else []) + again
+        text = "".join(f"<|im_start|>{said[i][2]}\n{said[i][3]}<|im_end|>\n" for i in [*again, *new])
+        assert (r["text"], r["n_repeated"], r["n_new"]) == (text, len(again), len(new))
+        assert [r["text"][x["start"] : x["start"] + x["chars"]] for x in r["loss"]] == [said[i][3] for i in new if said[i][2] == "assistant"]
+
+
 # -- 10 ---------------------------------------------------------------------------------
 
 
@@ -713,6 +769,42 @@ def test_mil_scores(spark, sf_dir):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in flags.items())
 
 
+def test_sampled_documents_are_whole(spark, monkeypatch):
+    # long labelled texts, one of a megabyte; the fit is given every passage of those that the budget has room for
+    long = [i for i in range(30, 60) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    texts = {i: prose(i, 40) for i in range(30)} | {long[0]: "many words here. " * 62_000, long[1]: prose(31, 9000)}
+    ids = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([*texts.items(), *texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    given = []
+    monkeypatch.setattr(mil_quality, "fit", lambda bags, y: given.append((bags, y)))
+    mil_quality.train(docs, labels)
+    bags, y = given.pop()
+    want = Counter((mil_quality.passage_counts(texts[i]).astype(np.uint16).tobytes(), float(i % 2)) for i in ids)
+    assert Counter((b.tobytes(), float(v)) for b, v in zip(bags, y)) == want and len(texts[long[0]]) > 1 << 20
+    mil_quality.train(docs, labels, passages=10)
+    some = given.pop()[0]
+    assert 0 < len(some) < len(ids) and {b.tobytes() for b in some} <= {k for k, _ in want} and (len(some) == 1 or sum(map(len, some)) <= 10)
+    mil_quality.train(docs, labels, passages=0)
+    assert len(given.pop()[0]) == 1
+
+
+def test_op10_scores_without_sources_and_labels(spark, sf_dir):
+    # a score follows from the text alone, and labels of held-out rows change nothing
+    from vectorloom.llm import registry
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = mil_quality.held_out(F.col("doc_id"))
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = mil_quality.train(docs, labels), mil_quality.train(docs, turned)
+    assert all((a[k] == b[k]).all() for k in a)
+    got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in registry.queries()["op10_mil_quality"](spark, sf_dir).collect()}
+    for r in docs.collect():
+        counts = mil_quality.passage_counts(r["text"])
+        y = float(mil_quality.forward(a, mil_quality.features(counts), np.array([0]))["y"][0])
+        assert got[r["doc_id"]][0] == pytest.approx(y, abs=1e-9) and got[r["doc_id"]][1:] == (int(y >= 0.5), zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 # -- queries and pipeline ---------------------------------------------------------------
 
 

@@ -26,4 +26,5 @@ def oracle_sql():
         "op3_ngram_join": ngram_join.OP3_SQL,
         "op7_quality_rules": quality_rules.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
+        "op9_chat_format": chat_format.OP9_SQL,
     }
