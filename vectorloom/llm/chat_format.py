@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, read, words
+from .common import let, materialise, read, words
 
 BUDGET = 1024  # tokens of new turns in a window
 HISTORY = 256  # tokens of earlier turns repeated before them
@@ -96,7 +96,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """One row a window: conv_id, window (0, 1, ...), text, n_repeated (leading turns that are
     repeated), n_new, tokens, and loss, an array of (start, chars) of the texts to learn."""
     reach = max(1, history)
-    rows = _placed(turns, budget).withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
+    # read by several steps, so sorted and summed once
+    rows = materialise(_placed(turns, budget), "chat-turns").withColumn("is_system", (F.col("pos") == 1) & (F.col("role") == "system"))
     rows = rows.withColumn("bin", F.floor(F.col("before") / reach))
     turn = lambda is_new: F.struct(
         "pos", F.lit(is_new).alias("is_new"), (F.col("role") == "assistant").alias("is_target"), "tokens",
@@ -172,7 +173,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(asked).alias("text"),
     )
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    back = read_windows(format_windows(turns))
+    back = read_windows(materialise(format_windows(turns), "chat-windows"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
