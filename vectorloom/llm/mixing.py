@@ -119,8 +119,10 @@ def _shard_seats(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(__mix_quota=got)
 
 
-def _seeded(*cols: str | Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *cols)
+def _seeded(*cols: str, seed: int) -> Column:
+    """A number below 2^60 from a digest, which other engines can repeat."""
+    named = F.concat_ws("/", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def plan_mix(
@@ -265,3 +267,45 @@ def mix_documents(docs: DataFrame, block: int = BLOCK_TOKENS, **options) -> Data
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read(spark, sf_dir, "documents"))
+
+
+# Quotients are listed and ranked, and blocks are walked one by one.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents
+), w AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source
+), c AS (
+  SELECT *, [3::DOUBLE, 1::DOUBLE, 2::DOUBLE][sid % 3 + 1] AS weight, 2::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS whole FROM w
+), l AS (
+  SELECT *, cap / weight <= (whole - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped FROM c
+), t AS (
+  SELECT *, CASE WHEN capped THEN cap ELSE weight * (whole - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM l
+), q AS (
+  SELECT sid, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sid) AS place
+  FROM (SELECT sid, target, unnest(range(0, CAST(2 * ceil(source_size / 16) AS BIGINT))) AS k FROM t WHERE target > 0)
+), s AS (
+  SELECT sid, count(*) AS seats FROM q WHERE place <= (SELECT CAST(round_even(sum(target) / 16, 0) AS BIGINT) FROM t) GROUP BY sid
+), p AS (
+  SELECT d.*, t.sid, t.source_size, t.target, coalesce(s.seats, 0) AS seats,
+    CAST('0x' || substr(md5('20240611/' || doc_id || '/' || size), 1, 15) AS BIGINT) % greatest(CAST(ceil(docs / 1000) AS BIGINT), 1) AS shard
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN s ON s.sid = t.sid
+), h AS (
+  SELECT sid, shard, seats, sum(size) AS shard_size, CAST(ceil(sum(size) / 16) AS BIGINT) AS blocks FROM p GROUP BY sid, shard, seats
+), z AS (
+  SELECT sid, shard, seats, row_number() OVER (PARTITION BY sid ORDER BY shard_size / (2 * k + 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(range(0, 2 * blocks)) AS k FROM h)
+), u AS (
+  SELECT h.sid, h.shard, greatest(blocks, 1) AS blocks, coalesce(n, 0) AS quota, CAST('0x' || substr(md5('20240611/' || h.sid || '/' || h.shard), 1, 15) AS BIGINT) % greatest(blocks, 1) AS shift
+  FROM h LEFT JOIN (SELECT sid, shard, count(*) AS n FROM z WHERE place <= seats GROUP BY sid, shard) x ON x.sid = h.sid AND x.shard = h.shard
+), o AS (
+  SELECT p.*, u.blocks, u.quota // u.blocks AS whole_passes, u.quota % u.blocks AS rest, u.shift, CAST(sum(size) OVER (
+    PARTITION BY p.sid, p.shard ORDER BY CAST('0x' || substr(md5('20240611/' || p.shard || '/' || doc_id), 1, 15) AS BIGINT), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS until
+  FROM p JOIN u ON p.sid = u.sid AND p.shard = u.shard
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, source, CAST(whole_passes * size + coalesce(CASE WHEN size > 0 THEN list_sum(list_transform(range((until - size) // 16, (until - 1) // 16 + 1), lambda b:
+  CASE WHEN (b * 2654435761 + shift) % blocks < rest THEN least(until, (b + 1) * 16) - greatest(until - size, b * 16) ELSE 0 END)) END, 0) AS BIGINT) AS taken
+FROM o
+"""

@@ -22,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_mix_sources": mixing.OP1_SQL,
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op3_ngram_join": ngram_join.OP3_SQL,
         "op7_quality_rules": quality_rules.OP7_SQL,
