@@ -854,3 +854,37 @@ def test_pipeline_stages(spark, sf_dir):
     texts = Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in after["mix_sources"].collect())
     assert Counter(r["decoded_sha256"] for r in after["byte_bpe"].collect()) == texts
     assert pipeline.run(spark, sf_dir).count() == after["byte_bpe"].count()
+
+
+def test_pipeline_stages_on_edge_cases(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    good = ["\n".join(prose(100 * i + k, 15) + "." for k in range(6)) for i in range(8)]
+    shared = "This very line stands in many of the documents, word for word."
+    rows = EDGES + [(50 + i, f"{t}\n{shared}", "ab"[i % 2]) for i, t in enumerate(good)]
+    rows += [(50, f"{good[0]}\n{shared}", "a"), (70, good[1], None), (None, good[2], "a"), (None, good[3] + "\n" + prose(1, 90) + ".", "a"), (80, "\n".join([prose(3, 20) + "."] * 2000), "c")]
+    before, columns = docs_of(spark, rows), docs_of(spark, []).columns
+    after = {}
+    for name, stage in pipeline.STAGES:
+        before = pipeline.materialise(stage(spark, before, sf_dir), name)
+        after[name] = before.collect()
+        assert before.columns == columns or name == pipeline.STAGES[-1][0]
+    ids = lambda name: Counter(r["doc_id"] for r in after[name])
+    assert ids("quality_rules") == Counter({50: 2, 51: 1, 52: 1, 53: 1, 54: 1, 55: 1, 56: 1, 57: 1, 70: 1, None: 2})
+    assert ids("line_dedup") == ids("quality_rules") and {r["doc_id"] for r in after["line_dedup"] if shared in r["text"]} == {57}
+    # 51 and 70 are alike, as are 52 and the first row without an id; the other one is a text of its own
+    assert ids("ngram_join") == Counter({50: 2, 51: 1, 52: 1, 53: 1, 54: 1, 55: 1, 56: 1, 57: 1, None: 1})
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert Counter(r["decoded_sha256"] for r in after["byte_bpe"]) == Counter(digest(r["text"]) for r in after["mix_sources"])
+    nothing = docs_of(spark, [])
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, nothing, sf_dir).count() == 0, name
+    # each stage takes null, empty, long and repeated rows as they are, whatever comes before it
+    for name, stage in pipeline.STAGES[1:]:
+        found = Counter(r["doc_id"] for r in stage(spark, docs_of(spark, EDGES), sf_dir).collect())
+        if name in ("line_dedup", "byte_bpe"):
+            assert found == Counter(i for i, _, _ in EDGES), name
+        elif name == "ngram_join":
+            assert found == Counter(i for i, _, _ in EDGES if i != 5), name
+        else:
+            assert set(found) <= {i for i, t, _ in EDGES if WORD.search(t or "")}, name

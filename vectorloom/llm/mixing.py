@@ -224,8 +224,10 @@ def _pieces(block: int):
     word = regex.compile(rb"[^\x20\x09-\x0D]+")
 
     def cut(text: str, start: int, size: int, full: int, blocks: int, rest: int, shift: int) -> list[str]:
-        out = [text or ""] * full
-        if not rest or not size:
+        if not size:
+            return []
+        out = [text] * full
+        if not rest:
             return out
         raw = text.encode()
         first, last = start // block, (start + size - 1) // block
@@ -257,7 +259,7 @@ def _pieces(block: int):
 def mix_documents(docs: DataFrame, block: int = BLOCK_TOKENS, **options) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each whole copy that is taken and one
     for the chosen blocks of a partial pass (runs of neighbouring blocks keep their own white
-    space and are joined by a line feed). A document whose blocks are not chosen gives no row."""
+    space and are joined by a line feed). A document whose blocks are not chosen, or without words, gives no row."""
     planned = plan_mix(docs, word_count(F.col("text")), block=block, **options)
     parts = _pieces(block)("text", *(f"__mix_{c}" for c in ("start", "size", "full", "blocks", "rest", "shift")))
     mixed = planned.withColumn("__mix_text", F.explode(parts))
