@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of `documents`. A stage's result is written to the shared folder and read back
 as the next one's input, so a lost executor repeats one stage's tasks at most.
+
+Defined cases, of any stage: null and empty texts have no words, so the first stage rejects them; the
+others would pass them on, but for the mix, which gives them no row; a text of any length is judged
+whole; rows that repeat a doc_id are rows of their own until the third stage, which keeps all rows of the doc_id
+that stays; of rows without doc_id and with like texts one stays; an empty table gives no rows; columns beside
+those of `documents` are carried along up to the last stage.
 """
 
 from __future__ import annotations
