@@ -657,6 +657,14 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_normalised(pages.limit(0))[0]).count() == 0
 
 
+def test_the_reader_finds_what_the_side_index_lists(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(30)], "page_id long, url string, html string")
+    normalised, index = warc.write_normalised(pages)
+    ids = lambda x: {r["page_id"] for r in warc.read_archives(normalised, x).collect()}
+    assert ids(index) == set(range(30)) and ids(index.where("record_id <> '<urn:page:7>'")) == set(range(30)) - {7}
+    assert ids(index.withColumn("offset", F.col("offset") + 1)) == set()
+
+
 def test_small_payloads_are_responses(spark):
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(["ab", "ab", "abcdef", "abcdef"])], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["revisit"]) for r in warc.plan_records(pages, min_bytes=3).collect()) == [(0, False), (1, False), (2, False), (3, True)]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.batches import slices
 
-from .common import materialise, read
+from .common import discard, materialise, read
 
 ARCHIVE_BYTES = 4_000_000  # of records, before compression
 MIN_BYTES = 0
@@ -201,39 +201,47 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     )
 
 
+_RECORD = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+_PLACE = [("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())]
+
+
 def read_archives(normalised: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """A row a record, each taken by its place in `index`, the side index as `write_normalised` writes it, or
-    without one in that beside the archives. Digest and size of a response come from the payload as
-    read, and must be the head's; those of a revisit from its heads. An archive without any entry gives no rows."""
-    if index is not None:
-        places = index.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("index"))
-        normalised = normalised.select("archive", "data").join(places, "archive")
+    """A row a record, each taken by its place among the entries that its archive carries. Digest and size of a
+    response come from the payload as read, and must be the head's; those of a revisit from its heads.
+
+    With the side index, a record is found only if that lists it at this place under its id. Places are joined, which
+    are small; archives do not move."""
 
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "data")):
-            for data, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, data, entries in zip(*(c.to_pylist() for c in batch.columns)):
                 rows = []
-                for place in index:
+                for place in entries:
                     fields, block = read_record(data, place["offset"], place["length"])
                     head, _, payload = block.partition(_END)
                     said = fields["warc-payload-digest"].removeprefix("sha1:")
                     size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     if fields["warc-type"] == "response" and (digest(payload) != said or len(payload) != size):
                         raise ValueError(f"WARC: {fields['warc-record-id']} is not what its head says")
-                    rows.append((_of_urn(fields["warc-record-id"]), size, said, fields["warc-type"], _of_urn(fields.get("warc-refers-to"))))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=names)
-
-    return normalised.select("data", "index").mapInArrow(
-        run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+                    rows.append(
+                        (_of_urn(fields["warc-record-id"]), size, said, fields["warc-type"], _of_urn(fields.get("warc-refers-to")), name, place["offset"], place["length"], fields["warc-record-id"])
+                    )
+                kinds = [*_RECORD, *_PLACE]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=[n for n, _ in kinds])
+
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, record_id string"
+    found = normalised.select("archive", "data", "index").mapInArrow(run, schema)
+    places = [n for n, _ in _PLACE]
+    if index is not None:
+        found = found.join(index.select(*places).hint("merge"), places)
+    return found.drop(*places)
 
 
 def write_normalised(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
     """The normalised archives as a table in the shared folder, and the side index as another."""
     once = materialise(write_archives(plan_records(pages, min_bytes)), "warc-streams")
     normalised = materialise(normalise_archives(once), "warc-members")
+    discard(once)
     index = materialise(normalised.select("archive", F.inline("index")), "warc-index")
     return normalised, index
 
