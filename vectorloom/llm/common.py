@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions.folders import remove, shared_dir
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 # The white space of the contracts, as a character list and as a regex class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -48,15 +48,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder once and read it back. The shuffle files of the
-    write go when it ends, as nothing reads them again; the session's setting for that is put back."""
+    write go when it ends, as nothing reads them again, and Python is handed smaller batches than the session
+    has; both settings hold for this write alone and are put back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
+    before = {key: spark.conf.get(key) for key in _WRITE}
     try:
+        for key, value in _WRITE.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEAN_UP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

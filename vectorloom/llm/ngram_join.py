@@ -66,7 +66,7 @@ def _set_id(hashes: np.ndarray) -> tuple[int, int] | tuple[None, None]:
 def _texts(batches, column: int | str):
     """Batches of bounded texts, with the texts."""
     for whole in batches:
-        for batch in slices(whole, column):
+        for batch in slices(whole, column, rows=256, size=1 << 20):
             yield batch, batch.column(column).to_pylist()
 
 
