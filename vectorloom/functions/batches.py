@@ -24,3 +24,4 @@ def slices(batch: pa.RecordBatch, column: int | str | None = None, rows: int = R
         stop = min(at + rows, n, max(at + 1, int(np.searchsorted(ends, limit, "right"))))
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()  # idle workers keep what is not given back
