@@ -28,8 +28,8 @@ from .common import read
 
 _NONE = 1 << 62
 _FAN = 16
-# What a worker remembers: two generations of pieces of up to _LONGEST_KEPT characters, 64 MB each.
-_STORE_BYTES, _ENTRY_BYTES, _LONGEST_KEPT = 64 << 20, 220, 64
+# What a worker remembers: two generations of pieces of up to _LONGEST_KEPT characters, 40 MB each.
+_STORE_BYTES, _ENTRY_BYTES, _LONGEST_KEPT = 40 << 20, 220, 64
 _LONG_TEXT = 1 << 20
 
 
