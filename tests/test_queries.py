@@ -1,5 +1,6 @@
 import importlib.util
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -28,6 +29,19 @@ def test_queries_equal_their_sql(spark, sf_dir):
             assert rows == sorted((tuple(map(plain, r)) for r in want.select(*columns).fetchall()), key=repr), name
 
 
+def test_aligned_values_halfway_between_integers_equal_the_sql(spark, tmp_path):
+    """Multiples of 1/32 are such values when counted in ten-thousandths."""
+    duckdb = pytest.importorskip("duckdb")
+    from vectorloom.plans import queries
+
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).integers(-32, 33, size=(300, 64)) / 32)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = queries.QUERIES["align_same_dim"](spark, str(tmp_path)).select("vec_id", "pos", "value_e4")
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(queries.SQL["align_same_dim"]).select("vec_id", "pos", "value_e4").fetchall())
+
+
 def test_names():
     names = set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= names

@@ -322,11 +322,14 @@ SELECT vec_id, i - 1 AS pos, CAST(round(list_transform(embedding, lambda x: x::D
 FROM embeddings, (SELECT unnest(range(1, 65)) AS i)
 """)
 def align_same_dim(spark, sf_dir):
-    """Vectors of a scaled, turned space come back as the originals."""
+    """Vectors of a scaled, turned space come back as the originals: in the table's own precision, so that values
+    halfway between two integers are rounded as the originals are."""
+    kind = _table(spark, sf_dir, "embeddings").schema["embedding"].dataType.elementType
     there = _space(_paired(_vectors(spark, sf_dir)), _signed_permutation(64))
     transform, _ = alignment.fit_alignment_table(there, "vector", "target", "id")
     back = alignment.apply_transform(there, "vector", transform)
-    return back.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x") * 10000).cast("long").alias("value_e4"))
+    values = back.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("pos", "x"))
+    return values.select("vec_id", "pos", F.round(F.col("x").cast(kind).cast("double") * 10000).cast("long").alias("value_e4"))
 
 
 def _diagnostics(spark, d: alignment.Diagnostics) -> DataFrame:
